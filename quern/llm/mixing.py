@@ -8,8 +8,8 @@ copies that comes nearest to what is due, with what it misses carried on; within
 evenly. So a source's words come within about its shortest documents' size of the target.
 
 Sizes up to EXACT words are strata of their own, longer ones share STEPS strata for each doubling, which bounds
-the strata of a source (about 4096 + 64 x 19). Defined cases: null text has size 0; documents of size 0 take 0 words and one copy;
-the null source is a source; repeated rows are documents of their own.
+the strata of a source (about 4096 + 64 x 19). Defined cases: null text has size 0; documents of size 0 take 0
+words and one copy; the null source is a source; repeated rows are documents of their own.
 """
 
 from __future__ import annotations
@@ -91,7 +91,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     # a source's strata are bounded in number, whatever its documents
     listed = strata.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("stratum", "n", "words")))).alias("strata")).withColumnRenamed("source", "_source")
     solved = goals.join(listed, F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", _rate(F.col("strata"), F.col("target")))
-    solved = solved.withColumn("plan", _copies(F.col("strata"), F.col("rate")))
+    # written, so that the folds below don't solve for the rate again at each stratum
+    solved = stage(solved.drop("_source"), "rates").withColumn("plan", _copies(F.col("strata"), F.col("rate")))
     plan = stage(solved.select("source", "source_size", "target", "rate", F.explode("plan").alias("p")).select(F.col("source").alias("_s"), "source_size", "target", "rate", F.col("p.stratum").alias("_stratum"), "p.n", F.col("p.copies").alias("due")), "plan")
     ranked = row_numbers(rows, ["source", "stratum"], [F.xxhash64("doc_id", "row"), F.col("row")], slices, "rank")
     found = ranked.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("stratum") == F.col("_stratum")))
