@@ -26,7 +26,7 @@ DIMENSION_BITS = 20
 #: Bound of the labelled rows that are fitted.
 TRAIN_ROWS = 20_000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 FOLDS = 5
 
 #: ASCII that is no letter or digit becomes a space.
