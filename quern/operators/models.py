@@ -15,7 +15,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.columns import distinct_counts, finite, of_kind
@@ -139,15 +139,13 @@ class Bundle:
 
     def save(self, path: str) -> str:
         self.model.write().overwrite().save(path)
-        meta = self.model._sc._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "quern.json"))
-        out = meta.getFileSystem(self.model._sc._jsc.hadoopConfiguration()).create(meta, True)
-        out.write(bytearray(json.dumps({"target": self.target, "task": self.task, "numbers": self.numbers, "categories": self.categories, "labels": self.labels}).encode()))
-        out.close()
+        meta = json.dumps({"target": self.target, "task": self.task, "numbers": self.numbers, "categories": self.categories, "labels": self.labels})
+        SparkSession.active().createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "quern"))
         return path
 
     @classmethod
     def load(cls, spark, path: str) -> Bundle:
-        meta = json.loads(spark.read.text(os.path.join(path, "quern.json"), wholetext=True).first()[0])
+        meta = json.loads(spark.read.text(os.path.join(path, "quern")).first()[0])
         return cls(model=PipelineModel.load(path), **meta)
 
 

@@ -94,7 +94,7 @@ def column_profiles(df: DataFrame, exact: bool = True) -> list[ColumnProfile]:
     return out
 
 
-def profile_frame(df: DataFrame, columns: list[ColumnProfile] | None = None, digits: int = 6) -> DataFrame:
+def profile_frame(df: DataFrame, columns: list[ColumnProfile] | None = None, digits: int = 7) -> DataFrame:
     """The column profiles as a table, a row for each column."""
     rows = []
     for p in columns if columns is not None else column_profiles(df):

@@ -56,10 +56,10 @@ def profile_sql(t: str, numbers: list[str], words: list[str]) -> str:
     out = []
     for c in numbers:
         out.append(f"""SELECT '{c}' AS name, 'numeric' AS kind, count({c}) AS count, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_unique,
-  round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS minimum, round({nearest_sql(c, t, 0.25)}, 6) AS q25,
-  round(median({c}), 6) AS median, round({nearest_sql(c, t, 0.75)}, 6) AS q75, round(max({c}), 6) AS maximum,
-  round((SELECT sqrt(count(*)) * sum(pow({c} - m, 3)) / pow(sum(pow({c} - m, 2)), 1.5) FROM {t}, (SELECT avg({c}) AS m FROM {t})), 6) AS skewness,
-  round(kurtosis_pop({c}), 6) AS kurtosis, NULL::VARCHAR AS top_value, NULL::BIGINT AS top_freq FROM {t}""")
+  round(avg({c}), 7) AS mean, round(stddev_samp({c}), 7) AS std, round(min({c}), 7) AS minimum, round({nearest_sql(c, t, 0.25)}, 7) AS q25,
+  round(median({c}), 7) AS median, round({nearest_sql(c, t, 0.75)}, 7) AS q75, round(max({c}), 7) AS maximum,
+  round((SELECT sqrt(count(*)) * sum(pow({c} - m, 3)) / pow(sum(pow({c} - m, 2)), 1.5) FROM {t}, (SELECT avg({c}) AS m FROM {t})), 7) AS skewness,
+  round(kurtosis_pop({c}), 7) AS kurtosis, NULL::VARCHAR AS top_value, NULL::BIGINT AS top_freq FROM {t}""")
     for c in words:
         top = f"(SELECT {c} AS v, count(*) AS f FROM {t} GROUP BY 1 ORDER BY f DESC, v LIMIT 1)"
         nothing = ", ".join(f"NULL::DOUBLE AS {k}" for k in ("mean", "std", "minimum", "q25", "median", "q75", "maximum", "skewness", "kurtosis"))

@@ -80,7 +80,7 @@ def read_csv(spark: SparkSession, profile: FileProfile, config: CleanConfig, rep
         df = reader.option("encoding", "ISO-8859-1" if profile.encoding == "latin-1" else "UTF-8").csv(str(profile.path))
     else:
         rows = [line for line in kept if line.strip()]
-        df = reader.csv(spark.sparkContext.parallelize(rows[1:] if profile.has_header else rows, 1))
+        df = reader.option("header", False).csv(spark.sparkContext.parallelize(rows[1:] if profile.has_header else rows, 1))
     df = df.cache()  # the corrupt-record column can't be queried alone from the file
     bad = df.where(F.col("_bad").isNotNull()).count()
     mode = "tolerant-unquoted" if unbalanced else "tolerant" if bad else "strict"
