@@ -1,0 +1,174 @@
+"""Toxicity, URL filter, surrogates and the pipeline."""
+
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.llm import pii, toxicity, url_filter
+from tests.llm.conftest import SCHEMA, prose
+
+INSULTS = ["idiot", "moron", "scum", "trash"]
+
+
+def toxic_tables(spark, n=400):
+    rows, labels = [], []
+    rng = random.Random(4)
+    for i in range(n):
+        words, bad = prose(i, 80).split(), i % 5 == 0
+        if bad:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(INSULTS) + rng.choice(["", ",", "!"]))
+        rows.append((i, " ".join(words), "en", f"s{i % 4}", 0))
+        labels.append((i, 1, int(bad)))
+    rows += [(n, None, None, None, None), (n + 1, "", "en", "s0", 0)]
+    labels += [(None, 1, 1), (3, 1, None), (10**6, 0, 1)]
+    return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), rows
+
+
+def test_toxicity_holds_out_a_fold_and_finds_insults(spark, tmp_path):
+    docs, labels, rows = toxic_tables(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.op4_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+    held = [i for i, r in got.items() if r["held_out"] and i < 400]
+    assert sum(got[i]["predicted"] == (i % 5 == 0) for i in held) / len(held) > 0.95
+
+
+def test_held_out_labels_do_not_matter(spark):
+    docs, labels, _ = toxic_tables(spark, 100)
+    flipped = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.fitted(docs, labels).equals(toxicity.fitted(docs, flipped))
+
+
+def test_no_labels(spark, empty_sf):
+    docs, labels, rows = toxic_tables(spark, 5)
+    assert {r["score"] for r in toxicity.scored(docs, toxicity.fitted(docs, labels.limit(0))).collect()} == {0.0}
+    assert toxicity.op4_toxicity(spark, empty_sf).count() == 0
+
+
+URLS = [
+    None, "", "no scheme", "http://", "https://Example.NET/en/1", "http://a.example.net/EN/1", "http://x.net", "http://x.net/", "http://notnet/", "ftp://b.example.com/de/?q=1",
+    "http://example.com/de", "http://c.org/fr/x#y", "http://c.org?fr/", "http://corg/fr/", "http://u:p@x.net:80/", "http://x.net?a://b.org/fr/", "http://ÄÖ.NET/é?x#y", "a://b://c/d", "http://x.org/fr/\nline",
+]
+
+
+def brute_url(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    best = None
+    for verdict, h, p in url_filter.RULES:
+        if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
+            best = (h + p, verdict)
+    return host, path, *(best or (None, None))
+
+
+@pytest.mark.parametrize("trained", [True, False])
+def test_urls(spark, tmp_path, trained):
+    rng = random.Random(2)
+    urls = URLS + ([f"http{'s' * rng.randint(0, 1)}://{rng.choice('abcdef')}{i}.example.{rng.choice(['net', 'com', 'org'])}/{rng.choice(['en', 'de', 'fr'])}/{i}" for i in range(300)] if trained else [])
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("score", F.lit("clash")).withColumn("html", F.lit(None).cast("string"))
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in url_filter.op6_url_filter(spark, str(tmp_path)).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = brute_url(u)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), u
+        assert got[i]["verdict"] == verdict if verdict else got[i]["verdict"] in ("allow", "block")
+
+
+def test_urls_empty(spark, empty_sf):
+    assert url_filter.op6_url_filter(spark, empty_sf).count() == 0
+
+
+TEXTS = [
+    "Write to jane.doe@mail.example.com or JANE.DOE@mail.example.com, not bob@x.org.",
+    "Call +1 (051) 555-0588 or (212) 555-0100; card 4111 1111 1111 1111 and 4555274651103543.",
+    "Host 182.29.63.135, id 123-45-6789, IBAN DE44 5001 0517 5407 3249 31.",
+    'token = "5aad00685accefdd91653537b82ad0dab34e35e3" jane.doe@mail.example.com',
+    "Mr. John Smith met Mrs Mary Smith and Frau Müller. Господин Иван Петров пришёл.",
+    "Nothing here but 42 apples and version 1.2.3.",
+    None,
+    "",
+]
+
+
+def test_surrogates(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)) + [(0, TEXTS[0])], "doc_id bigint, text string").withColumn("row", F.lit("clash"))
+    got = pii.replaced(df).orderBy("doc_id").collect()
+    assert len(got) == len(TEXTS) + 1 and got[0]["text"] == got[1]["text"]
+    out = {r["doc_id"]: r for r in got}
+    for secret in ("jane.doe", "JANE.DOE", "bob@", "555-0588", "555-0100", "4111 1111", "4555274651103543", "182.29.63.135", "123-45-6789", "5001 0517", "5aad00685", "John", "Mary", "Müller", "Петров"):
+        assert all(secret not in (r["text"] or "") for r in got), secret
+    first, again = re.findall(r"\S+@\S+", out[0]["text"]), re.search(r"\S+@\S+", out[3]["text"]).group()
+    assert first[0] == again and first[1].rstrip(",").lower() == first[0] and first[1].split("@")[0].isupper()
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} or \(\d{3}\) \d{3}-\d{4}; card \d{4} \d{4} \d{4} \d{4} and \d{16}\.", out[1]["text"])
+    card = re.search(r"card ([\d ]+) and", out[1]["text"]).group(1).replace(" ", "")
+    assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
+    ip = re.search(r"Host ([\d.]+),", out[2]["text"]).group(1)
+    assert all(int(x) < 256 for x in ip.split("."))
+    assert re.search(r"IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d\.", out[2]["text"])
+    assert re.search(r'token = "[0-9a-f]{40}"', out[3]["text"])
+    names = re.search(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+) and Frau", out[4]["text"]).groups()
+    assert names[0] in pii.GIVEN_MALE and names[2] in pii.GIVEN_FEMALE
+    assert re.search(r"Господин [а-яА-Я]+ [а-яА-Я]+ пришёл", out[4]["text"])
+    assert out[5]["text"] == TEXTS[5] and out[6]["text"] is None and out[7]["text"] == ""
+    assert pii.replaced(df, "other key").where("doc_id = 0").first()["text"] != out[0]["text"]
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    # names of one gender with one-letter families collide for certain
+    rows = [("name", f"Mr. Adam {a}{b}") for a in "ABCDEFGHIJ" for b in "ab"]
+    df = spark.createDataFrame(rows, "kind string, entity string")
+    odd = {r["entity"]: r["attempt"] for r in pii.redrawn(df, "k").collect()}
+    done = df.withColumn("attempt", F.lit(0)) if not odd else df.withColumn("attempt", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in odd.items() for x in p]), F.col("entity")), F.lit(0)))
+    new = [r[0] for r in done.select(pii.surrogate(F.col("entity"), F.col("kind"), F.lit("k"), F.col("attempt"))).collect()]
+    assert len(set(new)) == len(new) and not set(new) & {e for _, e in rows}
+
+
+def test_surrogates_of_nothing(spark, empty_sf):
+    assert pii.op9_pii(spark, empty_sf).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels, rows = toxic_tables(spark, 300)
+    copies = spark.createDataFrame([(1000 + i, rows[1][1], "en", "s1", 0) for i in range(20)] + [(1100, rows[2][1].replace(" ", "   "), "en", "s2", 0), rows[7], rows[7]], SCHEMA)
+    docs.union(copies).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    step, names = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    columns = step.columns
+    for name, f in corpus_pipeline.STAGES:
+        before = step
+        f(spark, step, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        step = spark.read.parquet(f"{tmp_path}/{name}")
+        names.append(name)
+        if name != "packing":
+            assert step.columns == columns
+        ids = [r["doc_id"] for r in step.select("doc_id").collect()]
+        if name == "toxicity":
+            missed = [i for i in ids if i % 5 == 0 and i < 300]  # held-out ones, of 60; 240 rows are few to learn from
+            assert len(missed) <= 3 and {i for i in range(300) if i % 5} <= set(ids)
+            assert step.count() == before.where("doc_id >= 300 OR doc_id % 5 <> 0").count() + len(missed)
+        elif name in ("exact_dedup", "near_dedup"):
+            texts = {re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in before.select("text").collect()}
+            assert len(ids) == len(set(ids)) and (name == "near_dedup" or len(ids) == len(texts))
+            assert not set(ids) & set(range(1000, 1101))
+        elif name == "mixing":
+            assert set(ids) <= {r["doc_id"] for r in before.collect()}
+    assert names == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
+    assert step.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+    assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == step.agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_of_nothing(spark, empty_sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert corpus_pipeline.run(spark, empty_sf).count() == 0
