@@ -57,3 +57,17 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
         return {}
     row = df.agg(*(F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)), *(F.max(F.col(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(columns))).first()
     return {c: row[f"d{i}"] + (row[f"n{i}"] or 0) for i, c in enumerate(columns)}
+
+
+def more_than_two(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns with more than two different values, null counting as one; two cheap aggregates, no distinct."""
+    if not columns:
+        return []
+    ends = df.agg(*(a for i, c in enumerate(columns) for a in (F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"), F.max(F.col(c).isNull().cast("int")).alias(f"z{i}")))).first()
+    between = df.agg(*(F.count_if((F.col(c) != F.lit(ends[f"a{i}"])) & (F.col(c) != F.lit(ends[f"b{i}"]))).alias(f"m{i}") for i, c in enumerate(columns))).first()
+    out = []
+    for i, c in enumerate(columns):
+        ends_differ = ends[f"a{i}"] is not None and ends[f"a{i}"] != ends[f"b{i}"]
+        if between[f"m{i}"] or (ends_differ and ends[f"z{i}"]):
+            out.append(c)
+    return out

@@ -12,16 +12,14 @@ from pyspark.sql import functions as F
 
 from quern.audit import StepReport
 from quern.config import CleanConfig
-from quern.functions.columns import OUTLIER_FLAG, distinct_counts, nearest_quantiles, of_kind
+from quern.functions.columns import OUTLIER_FLAG, more_than_two, nearest_quantiles, of_kind
 
 #: Rows an isolation tree is grown on, and the number of trees.
 FOREST_SAMPLE, FOREST_TREES = 256, 100
 
 
 def candidates(df: DataFrame) -> list[str]:
-    numbers = of_kind(df, "numeric", (OUTLIER_FLAG, "_row_id"))
-    different = distinct_counts(df, numbers)
-    return [c for c in numbers if different[c] > 2]
+    return more_than_two(df, of_kind(df, "numeric", (OUTLIER_FLAG, "_row_id")))
 
 
 def iqr_bounds(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> dict[str, tuple[float, float]]:

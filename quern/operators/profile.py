@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import CleanConfig
-from quern.functions.columns import kind_of, nearest_quantiles, of_kind
+from quern.functions.columns import kind_of, of_kind
 from quern.operators.downcast import memory_bytes
 
 
@@ -61,20 +62,22 @@ def column_profiles(df: DataFrame, exact: bool = True) -> list[ColumnProfile]:
     """exact=False sketches distinct counts and quantiles, for tables whose distinct values don't fit in memory."""
     fields = [f for f in df.schema.fields if f.name != "_row_id"]
     distinct = F.count_distinct if exact else F.approx_count_distinct
+    numbers = [f.name for f in fields if kind_of(f.dataType) == "numeric"]
+    sizes = df.agg(*(F.count(c).alias(c) for c in numbers)).first().asDict() if numbers and exact else {}
     aggs = [F.count("*").alias("n")]
     for i, f in enumerate(fields):
         c, kind = F.col(f.name), kind_of(f.dataType)
         aggs += [F.count(c).alias(f"n{i}"), distinct(c).alias(f"u{i}")]
         if kind == "numeric":
             d = c.cast("double")
-            aggs += [F.avg(d).alias(f"mean{i}"), F.stddev_samp(d).alias(f"std{i}"), F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.skewness(d).alias(f"skew{i}"), F.kurtosis(d).alias(f"kurt{i}"), (F.median(d) if exact else F.percentile_approx(d, 0.5, 10_000)).alias(f"med{i}")]
-            if not exact:
-                aggs.append(F.percentile_approx(d, [0.25, 0.75], 10_000).alias(f"q{i}"))
+            aggs += [F.avg(d).alias(f"mean{i}"), F.stddev_samp(d).alias(f"std{i}"), F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.skewness(d).alias(f"skew{i}"), F.kurtosis(d).alias(f"kurt{i}")]
+            # one set of value counts gives the median and, at whole places, the elements nearest to the quartiles
+            last = max(1, sizes.get(f.name, 0) - 1)
+            places = [math.floor(q * last + 0.5) / last for q in (0.25, 0.75)]
+            aggs.append((F.percentile(d, [places[0], 0.5, places[1]]) if exact else F.percentile_approx(d, [0.25, 0.5, 0.75], 10_000)).alias(f"q{i}"))
         elif kind in ("categorical", "boolean"):
             aggs.append(F.mode(c, True).alias(f"top{i}"))
     row = df.agg(*aggs).first().asDict()
-    numbers = [f.name for f in fields if kind_of(f.dataType) == "numeric"]
-    quartiles = nearest_quantiles(df, numbers, (0.25, 0.75)) if exact else {}
     tops = {f.name: row[f"top{i}"] for i, f in enumerate(fields) if row.get(f"top{i}") is not None}
     freq = df.agg(*(F.count_if(F.col(c) == F.lit(v)).alias(f"t{j}") for j, (c, v) in enumerate(tops.items()))).first() if tops else ()
     freqs = dict(zip(tops, freq))
@@ -83,10 +86,9 @@ def column_profiles(df: DataFrame, exact: bool = True) -> list[ColumnProfile]:
         nulls = n - row[f"n{i}"]
         p = ColumnProfile(f.name, (f.metadata or {}).get("logical") or f.dataType.simpleString(), kind_of(f.dataType), row[f"n{i}"], nulls, round(100 * nulls / n, 3) if n else 0.0, row[f"u{i}"] + (nulls > 0))
         if f"mean{i}" in row:
-            p.mean, p.std, p.minimum, p.maximum, p.median = (row[f"{k}{i}"] for k in ("mean", "std", "min", "max", "med"))
+            p.mean, p.std, p.minimum, p.maximum = (row[f"{k}{i}"] for k in ("mean", "std", "min", "max"))
             p.skewness, p.kurtosis = row[f"skew{i}"], row[f"kurt{i}"]
-            q = quartiles[f.name] if exact else row[f"q{i}"] or [None, None]
-            p.q25, p.q75 = (None if x is None else float(x) for x in q)
+            p.q25, p.median, p.q75 = row[f"q{i}"] or [None, None, None]
         if f.name in tops:
             v = tops[f.name]
             p.top_value, p.top_freq = (str(v).lower() if isinstance(v, bool) else v), freqs[f.name]

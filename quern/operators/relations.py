@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.columns import distinct_counts, finite, of_kind
+from quern.functions.columns import distinct_counts, finite, more_than_two, of_kind
 from quern.functions.special import f_sf
 from quern.operators.tests import average_ranks
 
@@ -29,9 +29,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, i
 
 
 def varying(df: DataFrame, columns: list[str] | None = None) -> list[str]:
-    columns = columns or of_kind(df, "numeric", ("is_outlier", "_row_id"))
-    different = distinct_counts(df, columns)
-    return [c for c in columns if different[c] > 2]
+    return more_than_two(df, columns or of_kind(df, "numeric", ("is_outlier", "_row_id")))
 
 
 def vif_scores(df: DataFrame, columns: list[str] | None = None) -> list[tuple[str, float]]:

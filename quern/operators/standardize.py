@@ -67,22 +67,23 @@ def standardize(df: DataFrame, config: CleanConfig | None = None) -> tuple[DataF
         for i, c in enumerate(strings):
             col = F.col(c)
             aggs += [F.count(col).alias(f"n{i}"), F.count_if(col.rlike(NUMBER) & col.rlike(HAS_DIGIT)).alias(f"num{i}"), F.count_if(col.rlike(DATE_HINT)).alias(f"hint{i}")]
-            aggs += [F.count(parse_date(col, p)).alias(f"d{i}_{j}") for j, (p, _) in enumerate(DATE_FORMATS)]
-        seen = df.agg(*aggs).first()
+        seen, dated = df.agg(*aggs).first(), []
         changes: dict[str, Column] = {}
         for i, c in enumerate(strings):
             n = seen[f"n{i}"]
-            if not n:
-                continue
-            if config.parse_numeric_strings and seen[f"num{i}"] / n >= config.numeric_string_min_success:
+            if n and config.parse_numeric_strings and seen[f"num{i}"] / n >= config.numeric_string_min_success:
                 changes[c] = parse_number(F.col(c))
                 report.act(f"{c}: read as numbers")
-            elif config.parse_datetimes and seen[f"hint{i}"] / n >= DATE_HINT_SHARE:
-                fits = [j for j in range(len(DATE_FORMATS)) if seen[f"d{i}_{j}"] / n >= config.datetime_parse_min_success]
-                if fits:
-                    pattern, timed = DATE_FORMATS[fits[0]]
+            elif n and config.parse_datetimes and seen[f"hint{i}"] / n >= DATE_HINT_SHARE:
+                dated.append((i, c))
+        if dated:  # failed parses are dear, so only columns that look like dates are tried
+            fits = df.agg(*(F.count(parse_date(F.col(c), p)).alias(f"d{i}_{j}") for i, c in dated for j, (p, _) in enumerate(DATE_FORMATS))).first()
+            for i, c in dated:
+                good = [j for j in range(len(DATE_FORMATS)) if fits[f"d{i}_{j}"] / seen[f"n{i}"] >= config.datetime_parse_min_success]
+                if good:
+                    pattern, has_time = DATE_FORMATS[good[0]]
                     when = parse_date(F.col(c), pattern)
-                    changes[c] = when if timed else when.cast("date")
+                    changes[c] = when if has_time else when.cast("date")
                     report.act(f"{c}: read as dates ({pattern})")
         if changes:
             df = df.withColumns(changes)
