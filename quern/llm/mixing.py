@@ -103,11 +103,19 @@ def mixed(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them.
 
-    Rows are told by their place in the input (partition and number), so docs must be a plain read of files.
+    docs is read again, and rows are matched by doc_id, source and size, not by place: places change when
+    executors are lost. Rows that agree in all three share out the copies that they have together.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    times = mixed(docs).where("copies > 0").select(F.col("row").alias("_at"), F.col("copies").alias("_copies"))
-    return placed.join(stage(times, "copies"), F.col("_row") == F.col("_at")).withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    times = stage(mixed(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_n").where("_copies > 0"), "copies")
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size_of(F.col("text")) == F.col("_size"))
+    found = docs.join(times, match)
+    once = found.where("_n = 1").withColumn("_each", F.col("_copies"))
+    if times.where("_n > 1").limit(1).count():
+        turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text"))
+        some = found.where("_n > 1").withColumn("_turn", turn)
+        share = F.expr("_copies div _n + CASE WHEN _turn <= _copies % _n THEN 1 ELSE 0 END")
+        once = once.union(some.withColumn("_each", share).drop("_turn").where("_each > 0"))
+    return once.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select(docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
