@@ -21,8 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_side, stage, table
+from quern.llm.common import shuffle_partitions, small_side, stage, table
 
+#: Forms of address; a text without any of them, a digit or an at sign has no entity.
+ADDRESSES = ["Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Господин", "Госпожа"]
 #: (type, pattern), tried in this order at each place of a text.
 PATTERNS = [
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -32,11 +34,9 @@ PATTERNS = [
     ("ip", r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[\p{L}\p{N}])"),
     ("card", r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"),
     ("secret", r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z_-]{20,}|(?=[0-9a-f]*[0-9])[0-9a-f]{32,128})(?![\p{L}\p{N}])"),
-    ("name", r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\b\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?"),
+    ("name", rf"\b(?:{'|'.join(ADDRESSES)})\b\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"),
 ]
 ANY = "|".join(p for _, p in PATTERNS)
-#: A text without any of these has no entity.
-HINT = r"[0-9@]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\b"
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 GIVEN_MALE = ["Adam", "Ben", "Carl", "Daniel", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Nils", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"]
 GIVEN_FEMALE = ["Alice", "Berta", "Clara", "Diana", "Emma", "Frida", "Greta", "Helen", "Ida", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Sara", "Tina", "Vera"]
@@ -132,9 +132,13 @@ def surrogate(entity: Column, kind: Column, key: Column, attempt: Column) -> Col
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with row and entities, an array of the entities in order (empty where there is none)."""
-    hit = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).withColumn("entities", F.coalesce(hit, F.array().cast("array<string>")))
+    """docs (doc_id, text) with a hash of the text and entities, an array of them in order (empty where there is none)."""
+    text = F.col("text")
+    hint = text.rlike("[0-9@]")
+    for a in ADDRESSES:
+        hint = hint | text.contains(a)
+    hit = F.when(hint, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).withColumn("entities", F.coalesce(hit, F.array().cast("array<string>")))
 
 
 def redrawn(entities: DataFrame, key: str) -> DataFrame:
@@ -142,10 +146,11 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
 
     Of entities that share a surrogate the smallest keeps it; a surrogate that is a real entity goes.
     """
-    k = F.lit(key)
+    k, parts = F.lit(key), shuffle_partitions(entities.sparkSession)
     now = stage(entities.select("kind", "entity", canonical(F.col("entity"), F.col("kind")).alias("canon"), F.lit(0).alias("attempt")), "entities")
     for _ in range(ATTEMPTS):
-        drawn = stage(now.withColumn("new", surrogate(F.col("entity"), F.col("kind"), k, F.col("attempt"))).withColumn("new_canon", canonical(F.col("new"), F.col("kind"))), "drawn")
+        # few rows, but dear ones: not to be left to the one task that reads their small file
+        drawn = stage(now.repartition(parts, "canon").withColumn("new", surrogate(F.col("entity"), F.col("kind"), k, F.col("attempt"))).withColumn("new_canon", canonical(F.col("new"), F.col("kind"))), "drawn")
         shared = drawn.groupBy("kind", "new_canon").agg(F.min("canon").alias("keeps"), F.countDistinct("canon").alias("n")).where("n > 1")
         real = now.select("kind", F.col("canon").alias("new_canon")).distinct()
         taken = drawn.join(shared, ["kind", "new_canon"]).where("canon <> keeps").select("kind", "canon")
@@ -161,14 +166,14 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
 def replaced(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(doc_id, text, n_entities, kinds, surrogates): the text with surrogates, and what they are, in order."""
     all_of = found(docs)
-    with_some = stage(all_of.where(F.size("entities") > 0).select("doc_id", "row", "entities"), "found")
+    with_some = stage(all_of.where(F.size("entities") > 0).select("hash", "entities"), "found")
     each = with_some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
     odd = stage(redrawn(each.select("entity", type_of(F.col("entity")).alias("kind")), key), "odd")
-    # only the rows that hold such an entity get a map of their attempts
-    maps = with_some.select("row", F.explode(F.array_distinct("entities")).alias("entity")).join(small_side(odd), "entity")
-    maps = maps.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("attempts"))
-    maps = stage(maps.withColumnRenamed("row", "_row"), "attempts")
-    rows = all_of.join(small_side(maps), F.col("row") == F.col("_row"), "left")
+    # only texts that hold such an entity get a map of their attempts; texts of one hash may share a map
+    maps = with_some.select("hash", F.explode(F.array_distinct("entities")).alias("entity")).join(small_side(odd), "entity")
+    maps = maps.groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("attempts"))
+    maps = stage(maps.withColumnRenamed("hash", "_hash"), "attempts")
+    rows = all_of.join(small_side(maps), F.col("hash") == F.col("_hash"), "left")
     k = F.lit(key)
 
     def new(e: Column) -> Column:
