@@ -11,7 +11,7 @@ Defined cases: null text counts as empty and has the closing id alone; repeated
 
 from __future__ import annotations
 
-import re
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,69 +32,112 @@ REMEMBERED_WORDS = 800_000
 
 
 class WordTokenizer:
-    """Ids of texts, word by word: exact for tokenizers whose pre-tokens hold no white space and end in `</w>`.
+    """Ids of texts, word by word, as tokenizers gives them for a file of byte-level BPE with word ends.
 
-    Words repeat, so each one's ids (as little-endian 32-bit bytes) are remembered; new words are joined and
-    encoded together, then parted by the ids that end a pre-token.
+    No pre-token of such a file holds white space, so a text's ids are its words' ids in order; words repeat, and
+    each one's ids (little-endian 32-bit bytes) are remembered. New words go through tiktoken, whose merges are
+    the file's own: a mark after each pre-token stands for the end of a word and joins the byte before it
+    first. Words with characters for which the libraries might disagree (odd spaces, private use, capital sigma,
+    special tokens) go to tokenizers itself.
     """
 
     _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _PLAIN = regex.compile("[\\n\x21-\x7E\u00A1-\u03A2\u03A4-\u167F\u2010-\u2027\u3041-\u9FFF\uAC00-\uD7A3]*")
+    _MARK = "\uE000"
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        vocabulary = self.t.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, mark = model["vocab"], self._MARK.encode()
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in visible)}
+        byte = {c: b for b, c in letters.items()}
+
+        def raw(token: str) -> bytes:
+            ends = token.endswith("</w>")
+            return bytes(byte[c] for c in (token[:-4] if ends else token)) + mark * ends
+
+        ranks: dict[bytes, int] = {}
+        ids: list[int] = []
+
+        def rank(token: bytes, id_: int) -> None:
+            if token not in ranks:
+                ranks[token] = len(ids)
+                ids.append(id_)
+
+        for b in range(256):
+            rank(bytes([b]), vocabulary[letters[b]])
+        rank(mark[:2], 0)
+        rank(mark, 0)
+        for b in range(256):
+            rank(bytes([b]) + mark, vocabulary[letters[b] + "</w>"])
+        for merge in model["merges"]:
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            rank(raw(left) + raw(right), vocabulary[left + right])
+        self.ids_of = np.array(ids, "<u4")
+        self.ends = np.array([r.endswith(mark) for r in ranks], bool)
+        self.fast = tiktoken.Encoding("words", pat_str=f"[^\\s{self._MARK}]+{self._MARK}", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[bytes, bytes] = {}
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.t.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[bytes]) -> None:
-        plain, counts = [], []
-        for w in words:
-            text = w.decode()
-            if b"<|" in w:
-                self.known[w] = self._alone(text)
-            else:
-                plain.append((w, text))
-                counts.append(len(self._PRE.findall(unicodedata.normalize("NFC", text).lower())))
-        for at in range(0, len(plain), 512):
-            some, n = plain[at : at + 512], counts[at : at + 512]
-            ids = np.array(self.t.encode(" ".join(t for _, t in some), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != sum(n):
-                self.known.update((w, self._alone(t)) for w, t in some)
+        for at in range(0, len(words), 8192):
+            some = words[at : at + 8192]
+            line = b"\n".join(some).decode()
+            if b"<|" in line.encode() or not self._PLAIN.fullmatch(line):
+                plain = []
+                for w in some:
+                    text = w.decode()
+                    if "<|" in text or not self._PLAIN.fullmatch(text):
+                        self.known[w] = self._alone(text)
+                    else:
+                        plain.append(w)
+                some, line = plain, b"\n".join(plain).decode()
+            if not some:
                 continue
-            cut = np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(n)])] * 4
-            raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for (w, _), a, b in zip(some, cut[:-1].tolist(), cut[1:].tolist()))
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            out = []
-            for words in word_pieces(text.encode()):
-                if len(self.known) > REMEMBERED_WORDS:
-                    self.known.clear()
-                if new := set(words).difference(self.known):
-                    self.learn(list(new))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            yield b"".join(out)
+            marked = self._PRE.sub("\\g<0>" + self._MARK, unicodedata.normalize("NFC", line).lower())
+            counts = [w.count(self._MARK) for w in marked.split("\n")]
+            ranks = np.array(self.fast.encode_ordinary(marked), np.int64)
+            last = np.concatenate([[0], np.flatnonzero(self.ends[ranks]) + 1])
+            cut = (last[np.concatenate([[0], np.cumsum(counts)])] * 4).tolist()
+            raw = self.ids_of[ranks].tobytes()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+
+    def _ids(self, words: list[bytes]) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            if len(self.known) > REMEMBERED_WORDS:
+                self.known.clear()
+            self.learn(list(set(words).difference(self.known)))
+            return b"".join(map(self.known.__getitem__, words))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """As ids(), but new words of all the texts are learnt together."""
+        """The ids of each text; new words of many texts are learnt together."""
         for at in range(0, len(texts), 256):
-            some = texts[at : at + 256]
-            if sum(map(len, some)) < 1 << 23:
-                if len(self.known) > REMEMBERED_WORDS:
-                    self.known.clear()
-                new: set[bytes] = set()
-                for t in some:
-                    new.update(t.encode().split())
-                self.learn(list(new.difference(self.known)))
-            yield from self.ids(some)
+            some = [t.encode() for t in texts[at : at + 256]]
+            if sum(map(len, some)) > 1 << 23:
+                yield from (b"".join(map(self._ids, word_pieces(t))) for t in some)
+                continue
+            if len(self.known) > REMEMBERED_WORDS:
+                self.known.clear()
+            words: list[bytes] = []
+            ends = [0]
+            for t in some:
+                words += t.split()
+                ends.append(len(words))
+            parts = list(map(self.known.get, words))
+            if gaps := [i for i, p in enumerate(parts) if p is None]:
+                self.learn(list({words[i] for i in gaps}))
+                for i in gaps:
+                    parts[i] = self.known[words[i]]
+            yield from (b"".join(parts[a:b]) for a, b in zip(ends, ends[1:]))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
