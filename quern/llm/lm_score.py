@@ -3,7 +3,7 @@
 A target model (documents labelled good) and a background model (all documents) share one vocabulary, the
 VOCABULARY most frequent words of the whole corpus (all others are one unknown word), one smoothing and one
 size: the background's counts are scaled to the target's number of tokens. Both are word bigrams interpolated
-with unigrams; bigram counts are kept in 2**BIGRAM_BITS hashed buckets, so each model is bounded (12 MB for
+with unigrams; bigram counts are kept in 2**BIGRAM_BITS hashed buckets, so each model is bounded (20 MB for
 both) while the counts cover every document. A document is scored with its own n-grams taken out of both
 models, so that the documents that trained a model don't favour it.
 
@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import mixed, ship, small_side, table, word_pieces
+from quern.llm.common import drop_stage, mixed, ship, small_side, stage, table, word_pieces
 
 VOCABULARY = 50_000
 BIGRAM_BITS = 20
@@ -48,10 +48,27 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield taken()
 
 
+def _bin(n: Column) -> Column:
+    """Counts in about a thousand bins, each count below 64 in its own."""
+    return F.when(n < 64, n).otherwise(64 + F.floor(F.log2(n / 64.0) * 16)).cast("int")
+
+
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words, ties by code point; at most `size`, so they may go to the driver."""
+    """The most frequent words, ties by code point; at most `size`, so they may go to the driver.
+
+    A histogram of the counts tells which words can be among them, so that tasks don't send `size` words each.
+    """
     counts = docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    counts = stage(counts.withColumn("bin", _bin(F.col("n"))), "words")
+    total, least = 0, 0
+    for r in sorted(counts.groupBy("bin").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["bin"]):
+        total, least = total + r["k"], r["bin"]
+        if total >= size:
+            break
+    top = counts.where(F.col("bin") >= least).orderBy(F.desc("n"), "word").limit(size)
+    words = [r["word"] for r in top.select("word").collect()]
+    drop_stage(counts)
+    return words
 
 
 class Ids:
@@ -137,7 +154,7 @@ def scored(docs: DataFrame, targets: DataFrame) -> DataFrame:
     arrays = {}
     for name in ("background", "target"):
         values = table_[name].to_numpy()
-        arrays[name] = [np.zeros(n, np.float32) for n in (size, size, 1 << BIGRAM_BITS)]
+        arrays[name] = [np.zeros(n) for n in (size, size, 1 << BIGRAM_BITS)]
         for k in range(3):
             arrays[name][k][at[kind == k]] = values[kind == k]
     tokens = {name: float(a[0].sum(dtype=np.float64)) for name, a in arrays.items()}
