@@ -89,6 +89,24 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def without(docs: DataFrame, keys: DataFrame, match: Column, order: list[Column], max_rows: int = BROADCAST_ROWS // 2) -> DataFrame:
+    """The rows of docs, with all their columns, whose key is kept; one row for each key.
+
+    keys: a written table of different keys (columns that begin with `_`) with `kept` and `n`, the rows that have
+    the key; match ties it to docs.
+    Keys that go are fewer than those that stay, so texts aren't shuffled while their table is small.
+    """
+    names = [c for c in keys.columns if c.startswith("_")]
+    left = docs.join(small_side(keys.where("NOT kept").select(names), max_rows), match, "left_anti")
+    repeated = keys.where("kept AND n > 1").select(names)
+    if repeated.limit(1).count() == 0:
+        return left
+    repeated = small_side(repeated, max_rows)
+    turn = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    first = left.join(repeated, match).withColumn("_turn", turn).where("_turn = 1").select(docs.columns)
+    return left.join(repeated, match, "left_anti").union(first)
+
+
 # ------------------------------------------------------------------ columns
 
 

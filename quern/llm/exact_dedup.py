@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import GAP, stage, table
+from quern.llm.common import GAP, stage, table, without
 
 #: Winners that are broadcast at most, the digests that a sketch tracks, and the rows that make a digest heavy.
 HEAVY = 1024
@@ -57,22 +57,14 @@ def decided(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns; of rows that repeat doc_id and text, one.
 
-    The rows that go are told by digest and doc_id. docs is read again and its rows are matched by doc_id and
-    digest; of rows that repeat both, one stays.
+    docs is read again; its rows are matched by doc_id and digest (128 bits of it).
     """
-    out = decided(docs)
-    gone = out.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    keep = stage(gone.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("n").alias("_n")), "kept")
-    match = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    chosen = docs.join(keep, match)
-    once = chosen.where("_n = 1").select(docs.columns)
-    repeated = chosen.where("_n > 1")
-    if repeated.limit(1).count() == 0:
-        return once
-    first = Window.partitionBy("_id", "_digest").orderBy(F.monotonically_increasing_id())
-    return once.union(repeated.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(docs.columns))
+    short = lambda digest: F.unhex(F.substring(digest, 1, 32))
+    keys = decided(docs).groupBy(F.col("doc_id").alias("_id"), short(F.col("text_sha256")).alias("_digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    match = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == short(F.sha2(normalised(F.col("text")).cast("binary"), 256)))
+    return without(docs, stage(keys, "keys"), match, [F.monotonically_increasing_id()])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

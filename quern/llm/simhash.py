@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, ship, shuffle_partitions, stage, table, word_pieces
+from quern.llm.common import connected_components, ship, shuffle_partitions, stage, table, without, word_pieces
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -202,14 +202,9 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of each group, with all columns: the one with the group's smallest doc_id (one of those that repeat it)."""
-    chosen = stage(grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("bits").alias("_bits"), F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id"), "chosen")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = kept.where("_n = 1").select(docs.columns)
-    repeated = kept.where("_n > 1")
-    if repeated.limit(1).count() == 0:
-        return once
-    first = Window.partitionBy("_id").orderBy("text", F.monotonically_increasing_id())
-    return once.union(repeated.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(docs.columns))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    keys = stage(grouped(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(stays).alias("kept"), F.count("*").alias("n")), "keys")
+    return without(docs, keys, F.col("doc_id").eqNullSafe(F.col("_id")), [F.col("text"), F.monotonically_increasing_id()])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
