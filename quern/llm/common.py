@@ -21,6 +21,9 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are split into words in pieces of about this many bytes, so that a huge text never becomes one list.
 PIECE_BYTES = 1 << 22
+#: Bytes of an Arrow batch, about.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 23
 #: A side of at most so many (narrow) rows may be broadcast: 2 million rows of two longs are about 64 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -67,8 +70,11 @@ def drop_stage(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the executors' Python workers (once for each application)."""
+    """Makes this package importable in the executors' Python workers (once for each application), and bounds what
+    a worker is sent at a time by bytes, unless it was started with a bound: rows alone would let long texts fill its memory."""
     sc = spark.sparkContext
+    if sc._conf.get(ARROW_BYTES) is None:
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
     if getattr(sc, "_quern_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
