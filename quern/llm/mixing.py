@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, row_numbers, shuffle_partitions, stage, table
+from quern.llm.common import BROADCAST_ROWS, WORD, row_numbers, shuffle_partitions, small_side, stage, table
 
 WEIGHTS = (5, 2, 1)
 #: A target's and a rate's bound.
@@ -104,11 +104,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them.
 
     docs is read again, and rows are matched by doc_id, source and size, not by place: places change when
-    executors are lost. Rows that agree in all three share out the copies that they have together.
+    executors are lost. Rows that agree in all three share out the copies that they have together. The copies'
+    table has rows of fixed width; while it is small it is broadcast, so that texts aren't shuffled.
     """
-    times = stage(mixed(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_n").where("_copies > 0"), "copies")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size_of(F.col("text")) == F.col("_size"))
-    found = docs.join(times, match)
+    named = F.unhex(F.md5(F.col("source").cast("binary")))
+    times = mixed(docs).groupBy(F.col("doc_id").alias("_id"), named.alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
+    times = stage(times.where("_copies > 0"), "copies")
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & named.eqNullSafe(F.col("_source")) & (size_of(F.col("text")) == F.col("_size"))
+    found = docs.join(small_side(times, BROADCAST_ROWS // 4), match)
     once = found.where("_n = 1").withColumn("_each", F.col("_copies"))
     if times.where("_n > 1").limit(1).count():
         turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text"))
