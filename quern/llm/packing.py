@@ -28,7 +28,7 @@ from quern.llm.common import ship, table, word_pieces
 WINDOW = 2048
 OPEN_WINDOWS = 4096
 #: Words whose ids are remembered by a worker before it starts anew.
-REMEMBERED_WORDS = 800_000
+REMEMBERED_WORDS = 300_000
 
 
 class WordTokenizer:
