@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
 
-#: A trained classifier and a tokenizer have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: A trained classifier and a tokenizer have no SQL; tests/llm/test_models.py tests the stages.
 ORACLE_SQL = None
 
 
