@@ -66,9 +66,10 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, bits): the fingerprint as a signed 64-bit integer."""
+    """(doc_id, bits): the fingerprint as a signed 64-bit integer. doc_id may be of any type."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_prints, "doc_id long, bits long")
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(_prints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits long")
 
 
 class VantageTree:
@@ -201,10 +202,17 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each group, with all columns: the one with the group's smallest doc_id (one of those that repeat it)."""
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    keys = stage(grouped(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(stays).alias("kept"), F.count("*").alias("n")), "keys")
-    return without(docs, keys, F.col("doc_id").eqNullSafe(F.col("_id")), [F.col("text"), F.monotonically_increasing_id()])
+    """One row of each group, with all columns: the one with the smallest doc_id (a null one only if there is no
+    other), of rows that repeat it with other texts the one with the smallest digest of the text.
+
+    docs is read again; its rows are matched by doc_id and digest (128 bits of it), as a doc_id may be null or have several texts.
+    """
+    digest = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32))
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")).alias("doc_id"), "text")
+    stays = F.col("doc_id") == F.col("component_id")
+    keys = grouped(named).groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")).agg(F.max(stays).alias("kept"), F.count("*").alias("n"))
+    match = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == digest)
+    return without(docs, stage(keys, "keys"), match, [F.col("text"), F.monotonically_increasing_id()])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

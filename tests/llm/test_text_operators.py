@@ -108,6 +108,19 @@ def test_simhash(spark, sf, docs_rows):
     assert simhash.dedup(spark.read.parquet(f"{sf}/documents.parquet")).count() == len(set(roots))
 
 
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    from tests.llm.conftest import SCHEMA, prose
+
+    texts = [prose(i, 60) for i in range(9)]
+    ids = [None, None, None, 7, 7, 3, None, 9, 9]  # null ids, and ids with two texts
+    rows = [(i, x, "en", "s", 0) for i, x in zip(ids, texts)]
+    rows += [(None, texts[5], "en", "s", 0), (7, texts[5], "en", "s", 0)]  # copies of the text of 3
+    rows += [rows[0], rows[3]]
+    got = sorted((r["text"], r["doc_id"]) for r in simhash.dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert [x for x, _ in got] == sorted(texts)
+    assert dict(got) == dict(zip(texts, ids))
+
+
 @pytest.mark.parametrize("leaf", [4096, 16])
 def test_vantage_trees_connect_what_brute_force_connects(monkeypatch, leaf):
     monkeypatch.setattr(simhash, "LEAF", leaf)
