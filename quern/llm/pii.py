@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import shuffle_partitions, small_side, stage, table
 
-#: Forms of address; a text without any of them, a digit or an at sign has no entity.
+#: What secrets without a digit begin with.
+TOKENS = ["AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
+#: Forms of address; a text without any of them, a digit, an at sign or a beginning of TOKENS has no entity.
 ADDRESSES = ["Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Господин", "Госпожа"]
 #: (type, pattern), tried in this order at each place of a text.
 PATTERNS = [
@@ -135,7 +137,7 @@ def found(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with a hash of the text and entities, an array of them in order (empty where there is none)."""
     text = F.col("text")
     hint = text.rlike("[0-9@]")
-    for a in ADDRESSES:
+    for a in ADDRESSES + TOKENS:
         hint = hint | text.contains(a)
     hit = F.when(hint, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).withColumn("entities", F.coalesce(hit, F.array().cast("array<string>")))
