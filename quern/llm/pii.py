@@ -10,7 +10,9 @@ of address's gender (other scripts than Latin keep their script letter by letter
 
 Collision check: over all different entities, surrogates must differ from each other and from every real
 entity. Those that fail draw again (with the next attempt number) until none does; they are few and are
-carried by a join of their own, while all others are computed where the text is read.
+carried by a join of their own, while all others are computed where the text is read. Where ATTEMPTS draws don't
+do (a short format has fewer surrogates than entities), addresses, names and phone numbers get WIDER more
+characters; if that fails too, an error is raised and nothing is written.
 
 Only DataFrame functions are used. Defined cases: null text stays null and has no entities; repeated rows are
 treated alike; the entity's original is never part of the result.
@@ -42,11 +44,32 @@ ANY = "|".join(p for _, p in PATTERNS)
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 GIVEN_MALE = ["Adam", "Ben", "Carl", "Daniel", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Nils", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"]
 GIVEN_FEMALE = ["Alice", "Berta", "Clara", "Diana", "Emma", "Frida", "Greta", "Helen", "Ida", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Sara", "Tina", "Vera"]
-ATTEMPTS = 20
+#: Draws in an entity's own length, and characters that a surrogate gets beyond it afterwards.
+ATTEMPTS, WIDER = 20, 8
 DEFAULT_KEY = "quern"
 #: (upper and lower letters that stand in for one another), by script.
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "àáâãäåèéêëìíîïòóôõöùúûüñç", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 
+#: What stands in for other letters and digits, by the first pattern that matches; none stays as it is.
+OTHERS = [
+    (r"[\p{IsLatin}&&\p{Lu}]", "ĀĂĆČĎĐĒĘĚĞĢĪĶŁĻŃŇŌŐŘŚŠŤŪŮŹŽ"),
+    (r"\p{IsLatin}", "āăćčďđēęěğģīķłļńňōőřśšťūůźž"),
+    (r"[\p{IsCyrillic}&&\p{Lu}]", ALPHABETS[2].upper()),
+    (r"\p{IsCyrillic}", ALPHABETS[2]),
+    (r"[\p{IsGreek}&&\p{Lu}]", ALPHABETS[3].upper()),
+    (r"\p{IsGreek}", ALPHABETS[3]),
+    (r"\p{IsHan}", "一丁七三上下中主久乙九了二人今仁他以任休何作使來供保信修元先光全公六"),
+    (r"\p{IsHangul}", "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허고노도로모보소오조초"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめも"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモ"),
+    (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"\p{IsDevanagari}", "अआइईउऊएऐओऔकखगघचछजझटठडढतथदधनपफबभमयरलवशसह"),
+    (r"\p{Lu}", ALPHABETS[0].upper()),
+    (r"\p{L}", ALPHABETS[0]),
+    (r"\p{N}", "0123456789"),
+]
+
 
 def type_of(entity: Column) -> Column:
     """The first type whose pattern matches the whole entity."""
@@ -71,15 +94,15 @@ def _like(text: Column, key: Column, what: Column, attempt: Column) -> Column:
     """text with every letter and digit redrawn among its own kind."""
 
     def one(c: Column, i: Column) -> Column:
-        draw = _draw(key, what, attempt, i)
-
-        def of(alphabet: str) -> Column:
-            return F.substring(F.lit(alphabet), (F.pmod(draw, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
-
-        out = F.when(c.between("0", "9"), F.pmod(draw, F.lit(10)).cast("string"))
+        # the draw is written once, as plans grow with every copy of it; no pool, no draw
+        pool = F.when(c.between("0", "9"), "0123456789")
         for alphabet in ALPHABETS:
-            out = out.when(F.lit(alphabet).contains(c), of(alphabet)).when(F.lit(alphabet.upper()).contains(c), of(alphabet.upper()))
-        return out.otherwise(c)
+            pool = pool.when(F.lit(alphabet).contains(c), alphabet).when(F.lit(alphabet.upper()).contains(c), alphabet.upper())
+        other = F.when(~c.rlike(r"[\p{L}\p{N}]"), None)
+        for pattern, letters in OTHERS:
+            other = other.when(c.rlike(pattern), letters)
+        pool = pool.otherwise(other)
+        return F.coalesce(F.substring(pool, (F.pmod(_draw(key, what, attempt, i), F.length(pool)) + 1).cast("int"), F.lit(1)), c)
 
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
 
@@ -107,11 +130,12 @@ def _placed(entity: Column, drawn: Column) -> Column:
 
 def surrogate(entity: Column, kind: Column, key: Column, attempt: Column) -> Column:
     what = F.concat_ws("\x1e", kind, canonical(entity, kind))
+    more = lambda like: F.when(attempt >= ATTEMPTS, _like(F.lit(like * WIDER), key, F.concat(what, F.lit("more")), attempt)).otherwise("")
     plain = _like(entity, key, what, attempt)
     # e-mail: local part by the whole address, domain by the domain, top-level domain kept
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     name, top = F.regexp_replace(domain, r"\.[^.]+$", ""), F.substring_index(domain, ".", -1)
-    email = F.concat(_like(local, key, what, attempt), F.lit("@"), _like(name, key, F.lower(domain), F.lit(0)), F.lit("."), top)
+    email = F.concat(_like(local, key, what, attempt), more("a"), F.lit("@"), _like(name, key, F.lower(domain), F.lit(0)), F.lit("."), top)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(_draw(key, what, attempt, i), F.lit(256)).cast("string")), ".")
     digits = F.regexp_replace(entity, "[ -]", "")
     drawn = _like(digits, key, what, attempt)
@@ -119,7 +143,7 @@ def surrogate(entity: Column, kind: Column, key: Column, attempt: Column) -> Col
     check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     card = _placed(entity, F.when(F.pmod(_luhn_sum(digits), F.lit(10)) == 0, F.concat(body, check)).otherwise(drawn))
     iban = F.concat(F.substring(entity, 1, 2), _like(F.substring(entity, F.lit(3), F.length(entity)), key, what, attempt))
-    phone = F.concat(F.regexp_extract(entity, r"^(\+[0-9]{1,3}[ .-])?", 1), _like(F.regexp_replace(entity, r"^\+[0-9]{1,3}[ .-]", ""), key, what, attempt))
+    phone = F.concat(F.regexp_extract(entity, r"^(\+[0-9]{1,3}[ .-])?", 1), _like(F.regexp_replace(entity, r"^\+[0-9]{1,3}[ .-]", ""), key, what, attempt), more("0"))
     secret = F.concat(F.regexp_extract(entity, r"^(AKIA|gh[pousr]_|sk-)?", 1), F.when(entity.rlike("^[0-9a-f]+$"), F.substring(F.concat(F.sha2(F.concat_ws("\x1f", key, what, attempt.cast("string")).cast("binary"), 512)), F.lit(1), F.length(entity))).otherwise(_like(F.regexp_replace(entity, r"^(AKIA|gh[pousr]_|sk-)", ""), key, what, attempt)))
     # name: form of address kept, given name by gender, the other letter by letter
     words = F.split(entity, " ")
@@ -129,7 +153,7 @@ def surrogate(entity: Column, kind: Column, key: Column, attempt: Column) -> Col
     latin = given.rlike(r"^[A-Za-zÀ-ÿ'’-]+$")
     last = F.coalesce(family, given)
     first = F.when(family.isNotNull() & latin, F.concat(F.when(male, pick(GIVEN_MALE)).otherwise(pick(GIVEN_FEMALE)), F.lit(" "))).when(family.isNotNull(), F.concat(_like(given, key, F.concat(what, F.lit("given")), attempt), F.lit(" "))).otherwise("")
-    named = F.concat(address, F.lit(" "), first, _like(last, key, what, attempt))
+    named = F.concat(address, F.lit(" "), first, _like(last, key, what, attempt), more("a"))
     return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "name", named).otherwise(plain)
 
 
@@ -150,7 +174,7 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
     """
     k, parts = F.lit(key), shuffle_partitions(entities.sparkSession)
     now = stage(entities.select("kind", "entity", canonical(F.col("entity"), F.col("kind")).alias("canon"), F.lit(0).alias("attempt")), "entities")
-    for _ in range(ATTEMPTS):
+    for _ in range(2 * ATTEMPTS):
         # few rows, but dear ones: not to be left to the one task that reads their small file
         drawn = stage(now.repartition(parts, "canon").withColumn("new", surrogate(F.col("entity"), F.col("kind"), k, F.col("attempt"))).withColumn("new_canon", canonical(F.col("new"), F.col("kind"))), "drawn")
         shared = drawn.groupBy("kind", "new_canon").agg(F.min("canon").alias("keeps"), F.countDistinct("canon").alias("n")).where("n > 1")
@@ -162,6 +186,8 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
             break
         again = now.join(taken.withColumn("bad", F.lit(1)), ["kind", "canon"], "left")
         now = stage(again.select("kind", "entity", "canon", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt")), "entities")
+    else:
+        raise RuntimeError(f"surrogates still collide after {2 * ATTEMPTS} draws: {taken.count()} entities")
     return now.where("attempt > 0").select("entity", "attempt")
 
 

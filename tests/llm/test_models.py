@@ -140,6 +140,22 @@ def test_secrets_without_digits_are_replaced(spark, token):
     assert r["n_entities"] == 1 and token not in r["text"]
 
 
+def test_no_collision_is_left_where_formats_are_short(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 2)
+    # 26 addresses of one letter, on one domain; letters of many scripts
+    rows = [("email", f"{c}@example.org") for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows += [("name", "Mr Šž"), ("name", "Mr Йъ"), *(("email", f"{x}@example.org") for x in ("漢字", "محمد", "홍길동", "דוד", "ひと", "ქართ", "٣٤"))]
+    df = spark.createDataFrame(rows, "kind string, entity string")
+    odd = pii.redrawn(df, "k").withColumnRenamed("entity", "_e")
+    new = df.join(odd, df["entity"] == odd["_e"], "left").withColumn("new", pii.surrogate(F.col("entity"), F.col("kind"), F.lit("k"), F.coalesce("attempt", F.lit(0))))
+    got = {r["entity"]: r["new"] for r in new.collect()}
+    assert len(set(got.values())) == len(rows) and not set(got.values()) & set(got)
+    for e, x in got.items():
+        if len(e.split("@")[0]) > 1:
+            local, its = (v.split("@")[0].removeprefix("Mr ") for v in (e, x))
+            assert local != its, (e, x)
+
+
 def test_surrogates_of_nothing(spark, empty_sf):
     assert pii.op9_pii(spark, empty_sf).count() == 0
 
