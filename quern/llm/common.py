@@ -26,6 +26,8 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 1 << 23
 #: A side of at most so many (narrow) rows may be broadcast: 2 million rows of two longs are about 64 MB.
 BROADCAST_ROWS = 2_000_000
+#: A key that more than one row in so many has is crowded; there are at most so many crowded keys.
+CROWDS = 1024
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -39,9 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in tests, a folder of our own."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, as in tests, a local session gets a
+    folder of its own; on a cluster that is an error, as executors don't see one another's folders."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -95,22 +100,43 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def without(docs: DataFrame, keys: DataFrame, match: Column, order: list[Column], max_rows: int = BROADCAST_ROWS // 2) -> DataFrame:
-    """The rows of docs, with all their columns, whose key is kept; one row for each key.
+def lasting(docs: DataFrame) -> DataFrame:
+    """docs itself where it is a plain scan of Parquet files, whose rows keep their places; else docs written to the
+    shared folder, as the places of computed rows change when executors are lost."""
+    plan = docs._jdf.queryExecution().analyzed()
+    kind = lambda x: x.getClass().getSimpleName()
+    if kind(plan) == "LogicalRelation" and kind(plan.relation()) == "HadoopFsRelation" and plan.relation().fileFormat().toString() == "Parquet":
+        return docs
+    return stage(docs, "rows")
 
-    keys: a written table of different keys (columns that begin with `_`) with `kept` and `n`, the rows that have
-    the key; match ties it to docs.
-    Keys that go are fewer than those that stay, so texts aren't shuffled while their table is small.
+
+def placed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The given columns of docs (a result of lasting()) and each row's place: its file (16 bytes) and its number
+    there, `at`. A place tells rows apart that agree in everything else, and depends on neither splits nor executors."""
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(F.unhex(F.md5(meta["file_path"].cast("binary"))).alias("file"), meta["row_index"].alias("at"), *(c.alias(k) for k, c in columns.items()))
+
+
+def at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, ...): the rows of docs, as a struct, whose place is in places (file, at, ...), with places' other columns.
+
+    One plan at every size: whole rows are shuffled once, by a key that no two share, and stream past hash tables
+    of places; they are neither sorted nor broadcast.
+    """
+    return placed(docs, doc=F.struct("*")).join(places.hint("shuffle_hash"), ["file", "at"])
+
+
+def met(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with facts (key, n: the rows that have it, ...); every key of rows is in facts, once.
+
+    Keys that more than one row in CROWDS has, CROWDS at most, are met by broadcast, so that no task gets the rows
+    of a crowded key; the others by a shuffle.
     """
-    names = [c for c in keys.columns if c.startswith("_")]
-    left = docs.join(small_side(keys.where("NOT kept").select(names), max_rows), match, "left_anti")
-    repeated = keys.where("kept AND n > 1").select(names)
-    if repeated.limit(1).count() == 0:
-        return left
-    repeated = small_side(repeated, max_rows)
-    turn = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
-    first = left.join(repeated, match).withColumn("_turn", turn).where("_turn = 1").select(docs.columns)
-    return left.join(repeated, match, "left_anti").union(first)
+    least = total // CROWDS
+    crowded = F.broadcast(facts.where(F.col("n") > least))
+    few = facts.where(F.col("n") <= least)
+    rest = rows.join(F.broadcast(facts.where(F.col("n") > least).select(key)), key, "left_anti")
+    return rows.join(crowded, key).unionByName(rest.join(few, key))
 
 
 # ------------------------------------------------------------------ columns
@@ -121,13 +147,13 @@ def utf8_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def row_numbers(df: DataFrame, group: list[str], order: list[Column], slices: int, name: str) -> DataFrame:
+def row_numbers(df: DataFrame, group: list[str], order: list[Column], slices: int, name: str, by: Column | None = None) -> DataFrame:
     """Gapless numbers from 0 within each group, without bringing a group into one task.
 
-    Rows are dealt to `slices` slices of their group by a hash of `order`; a window numbers each slice, and the
+    Rows are dealt to `slices` slices of their group by a hash of `order`, or of `by`; a window numbers each slice, and the
     slices' counts (at most groups x slices rows) are summed before it. Rows that tie on `order` get any order.
     """
-    cut = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    cut = df.withColumn("_slice", F.pmod(F.xxhash64(*([by] if by is not None else order)), F.lit(slices)).cast("int"))
     keys = [*group, "_slice"]
     sizes = cut.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -184,16 +210,20 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Every round takes the smallest label among a node and its neighbours and then the label of that label, so
     long chains shorten as fast as they spread; rounds end when no label changes. State is a written table, so
-    nothing is gathered on the driver. Links may repeat and may point either way.
+    nothing is gathered on the driver. Links may repeat and may point either way. The minimum over neighbours is
+    taken before the shuffle, and labels that many nodes share are met by broadcast.
     """
     both = stage(links.select(F.col(a).alias("node"), F.col(b).alias("other")).union(links.select(F.col(b), F.col(a))).where("node <> other").distinct(), "links")
     labels = stage(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    total = labels.count()
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("m"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        of = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        new = stage(low.join(of, "label", "left").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")), "labels")
+        low = stage(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label")), "low")
+        of = labels.select(F.col("node").alias("_n"), F.col("label").alias("beyond"))
+        named = low.groupBy("label").agg(F.count("*").alias("n")).join(of, F.col("label") == F.col("_n")).drop("_n")
+        new = stage(met(low, named, "label", total).select("node", "was", F.least("label", "beyond").alias("label")), "labels")
         moved = new.where("label <> was").limit(1).count()
+        drop_stage(low)
         drop_stage(labels)
         path = new._quern_path
         labels = new.select("node", "label")

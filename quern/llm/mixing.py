@@ -1,30 +1,48 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each document's rate is exp(lambda of its source): of all rates that meet the token constraints these lie
-nearest, in relative entropy by token, to taking each document once. The multipliers solve the convex dual by
-Newton steps on the strata of each source, in parallel over sources. Rates then become whole copies: within a
-source, strata of equal size are settled from the longest documents to the shortest, each taking the number of
-copies that comes nearest to what is due, with what it misses carried on; within a stratum the copies are dealt
-evenly. So a source's words come within about its shortest documents' size of the target.
+Of all rates that give every source its target of words, those lie nearest in relative entropy by word to taking
+each document once that also keep the words' shares by language and by length near the corpus's: a document's rate
+is min(MOST, exp(a + b + c)), a of its source, b of its language group and c of its length group. The multipliers
+solve the convex dual. Sources' constraints hold exactly, languages' and lengths' softly: a multiplier b lets its
+group's words come to (1 - SLACK x b) of the corpus's, so that targets that can't all be met don't run away.
+
+Newton iterations are distributed. State is by source and cell (language group, length group), with counts of
+words; for given b and c every source finds its own a where its row is, and one aggregate sums the gradient and the
+Hessian of what is left (the Schur complement over sources), at most GROUPS x (GROUPS + 1) numbers whatever the
+number of sources; only those reach the driver.
+
+Rates then become whole copies: within a source, strata of equal size are settled from the longest documents to the
+shortest, each taking the number of copies that comes nearest to what is due, with what it misses carried on; within
+a stratum copies are dealt in proportion to the documents' rates. So a source's words come within about its
+shortest documents' size of the target.
 
 Sizes up to EXACT words are strata of their own, longer ones share STEPS strata for each doubling, which bounds
 the strata of a source (about 4096 + 64 x 19). Defined cases: null text has size 0; documents of size 0 take 0
-words and one copy; the null source is a source; repeated rows are documents of their own.
+words and one copy; the null source is a source and the null language a language; repeated rows are documents of
+their own; an empty table gives none; documents that tie in size and rate are dealt copies by a hash
+of doc_id and text, and rows that share both by their place.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_ROWS, WORD, row_numbers, shuffle_partitions, small_side, stage, table
+from quern.llm.common import CROWDS, WORD, at_places, lasting, placed, row_numbers, shuffle_partitions, stage, table
 
 WEIGHTS = (5, 2, 1)
 #: A target's and a rate's bound.
 MOST = 3
-NEWTON_STEPS = 30
 EXACT = 4096
 STEPS = 64
+#: Languages go to so many groups by hash, lengths to a group for each doubling.
+LANGUAGES, LENGTHS = 16, 24
+GROUPS = LANGUAGES + LENGTHS
+SLACK = 0.25
+#: Iterations at most, for all sources and within one, and the residual (as a share of all words) that ends them.
+NEWTON_STEPS, SOURCE_STEPS = 30, 40
+TOLERANCE = 1e-9
 
 
 def size_of(text: Column) -> Column:
@@ -54,72 +72,156 @@ def stratum_of(size: Column) -> Column:
     return F.when(size <= EXACT, size).otherwise(EXACT + F.ceil(F.log2(size / float(EXACT)) * STEPS)).cast("long")
 
 
-def _rate(strata: Column, target: Column) -> Column:
-    """exp(lambda) by Newton's method on sum(size) x exp(lambda) = target."""
+def cell_of(lang: Column, size: Column) -> Column:
+    """language group x LENGTHS + length group; a length group depends on the stratum's doubling only."""
+    length = F.least(F.floor(F.log2(F.greatest(size, F.lit(1)))), F.lit(LENGTHS - 1))
+    return (F.pmod(F.xxhash64(lang), F.lit(LANGUAGES)) * LENGTHS + length).cast("int")
 
-    def step(x, _):
-        held = F.aggregate(strata, F.lit(0.0), lambda total, s: total + s["words"] * F.exp(x))
-        return x - F.least(F.greatest((held - target) / held, F.lit(-2.0)), F.lit(2.0))
 
-    total = F.aggregate(strata, F.lit(0.0), lambda t, s: t + s["words"])
-    solved = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
-    return F.when((total > 0) & (target > 0), F.least(solved, F.lit(float(MOST)))).otherwise(0.0)
+def _bound(value: Column, use) -> Column:
+    """use(x) with x computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _copies(strata: Column, rate: Column) -> Column:
-    """Copies due to each stratum, longest first, with the missing words carried on."""
-    start = F.struct(F.lit(0.0).alias("due"), F.lit(0.0).alias("taken"), F.array().cast("array<struct<stratum:bigint,n:bigint,copies:bigint>>").alias("out"))
+def _tilts(cells: Column, beta: np.ndarray) -> Column:
+    """cells (cell, words) with tilt, the sum of the language's and the length's multipliers."""
+    # folded into one literal, so that iterations share their compiled code
+    values = F.expr(f"array({', '.join(f'{b!r}D' for b in beta.tolist())})")
+    tilt = lambda cell: F.element_at(values, (cell / LENGTHS).cast("int") + 1) + F.element_at(values, cell % LENGTHS + LANGUAGES + 1)
+    return F.transform(cells, lambda c: F.struct(c["cell"].alias("cell"), c["words"].alias("words"), tilt(c["cell"]).alias("tilt")))
+
+
+def _multiplier(cells: Column, target: Column, total: Column) -> Column:
+    """The source's multiplier: Newton's method, steps bounded, on sum of words x min(MOST, exp(a + tilt)) = target."""
+
+    def step(a, _):
+        def add(acc, c):
+            raw = F.exp(a + c["tilt"])
+            return F.struct((acc["held"] + c["words"] * F.least(raw, F.lit(float(MOST)))).alias("held"), (acc["slope"] + F.when(raw < MOST, c["words"] * raw).otherwise(0.0)).alias("slope"))
+
+        sums = F.aggregate(cells, F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("slope")), add)
+        return _bound(sums, lambda s: a + F.least(F.greatest((target - s["held"]) / F.greatest(s["slope"], total * 1e-9), F.lit(-2.0)), F.lit(2.0)))
+
+    start = F.ln(F.greatest(target / total, F.lit(1e-12)))
+    return F.when((total > 0) & (target > 0), F.aggregate(F.sequence(F.lit(1), F.lit(SOURCE_STEPS)), start, step))
+
+
+def _rated(sources: DataFrame, beta: np.ndarray) -> DataFrame:
+    """sources with cells (cell, words, rate); rate 0 where the target is."""
+    tilted = sources.withColumn("tilted", _tilts(F.col("cells"), beta))
+    solved = tilted.withColumn("rated", _bound(_multiplier(F.col("tilted"), F.col("target"), F.col("source_size").cast("double")), lambda a: F.transform("tilted", lambda c: F.struct(c["cell"].alias("cell"), c["words"].alias("words"), F.coalesce(F.least(F.exp(a + c["tilt"]), F.lit(float(MOST))), F.lit(0.0)).alias("rate")))))
+    return solved.drop("tilted")
+
+
+def _derivatives(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(words taken by group, Schur complement of the Hessian) in one aggregate; at most GROUPS x (GROUPS + 1) rows."""
+    taken = lambda c: c["words"] * c["rate"]
+    slope = lambda c: F.when(c["rate"] < MOST, taken(c)).otherwise(0.0)
+    language, length = lambda c: (c["cell"] / LENGTHS).cast("int"), lambda c: LANGUAGES + c["cell"] % LENGTHS
+    entry = lambda i, j, v: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), v.cast("double").alias("v"))
+    own = F.flatten(F.transform("rated", lambda c: F.array(entry(language(c), F.lit(-1), taken(c)), entry(length(c), F.lit(-1), taken(c)), entry(language(c), language(c), slope(c)), entry(length(c), length(c), slope(c)), entry(language(c), length(c), slope(c)), entry(length(c), language(c), slope(c)))))
+    # of each source: its slopes by group, and their products over its whole slope
+    by_group = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.struct(g.alias("g"), F.aggregate("rated", F.lit(0.0), lambda t, c: t + F.when((language(c) == g) | (length(c) == g), slope(c)).otherwise(0.0)).alias("v")))
+    whole = F.aggregate("rated", F.lit(0.0), lambda t, c: t + slope(c))
+    some = F.filter("by_group", lambda x: x["v"] > 0)
+    shared = F.flatten(F.transform("some", lambda x: F.transform("some", lambda y: entry(x["g"], y["g"], -x["v"] * y["v"] / F.col("whole")))))
+    rows = rated.withColumns({"by_group": by_group, "whole": whole}).withColumn("some", some).select(F.explode(F.concat(own, shared)).alias("e"))
+    gradient, hessian = np.zeros(GROUPS), np.zeros((GROUPS, GROUPS))
+    for r in rows.groupBy("e.i", "e.j").agg(F.sum("e.v").alias("v")).collect():
+        if r["j"] < 0:
+            gradient[r["i"]] = r["v"]
+        else:
+            hessian[r["i"], r["j"]] = r["v"]
+    return gradient, hessian
+
+
+def balanced(sources: DataFrame, goal: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """(multipliers by group, iterations, last residual as a share of all words).
+
+    sources: (source, source_size, target, cells), written. goal: the corpus's words by group.
+    """
+    beta, total = np.zeros(GROUPS), goal[:LANGUAGES].sum()
+    used = goal > 0
+    for step in range(NEWTON_STEPS):
+        taken, hessian = _derivatives(_rated(sources, beta))
+        residual = (taken - goal * (1 - SLACK * beta))[used]
+        if not total or np.abs(residual).max() <= TOLERANCE * total:
+            return beta, step, float(np.abs(residual).max(initial=0.0) / max(total, 1))
+        curve = hessian[np.ix_(used, used)] + SLACK * np.diag(goal[used])
+        beta[used] -= np.clip(np.linalg.solve(curve, residual), -1.0, 1.0)
+    return beta, NEWTON_STEPS, float(np.abs(residual).max() / total)
+
+
+def _copies(strata: Column) -> Column:
+    """Copies due to each stratum (n, words, due, stratum), longest first, with the missing words carried on."""
+    start = F.struct(F.lit(0.0).alias("due"), F.lit(0.0).alias("taken"), F.array().cast("array<struct<stratum:bigint,copies:bigint,due:double>>").alias("out"))
 
     def step(acc, s):
-        due = acc["due"] + rate * s["words"]
+        due = acc["due"] + s["due"]
         mean = s["words"] / s["n"]
         k = F.least(F.greatest(F.round((due - acc["taken"]) / F.greatest(mean, F.lit(1e-9))), F.lit(0.0)), (s["n"] * MOST).cast("double")).cast("long")
         k = F.when(s["words"] == 0, s["n"]).otherwise(k)
-        one = F.struct(s["stratum"].alias("stratum"), s["n"].alias("n"), k.alias("copies"))
-        return F.struct(due.alias("due"), (acc["taken"] + k * mean).alias("taken"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return _bound(k, lambda k: F.struct(due.alias("due"), (acc["taken"] + k * mean).alias("taken"), F.concat(acc["out"], F.array(F.struct(s["stratum"].alias("stratum"), k.alias("copies"), (s["due"] / F.greatest(mean, F.lit(1e-9))).alias("due")))).alias("out")))
 
     return F.aggregate(strata, start, step, lambda acc: acc["out"])
 
 
+def _same(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b)
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source, source_size, target, rate, copies, taken, row) for each row of docs (doc_id, text, source)."""
+    """(doc_id, size, source_size, target, rate, copies, taken, file, at) for each row of docs (doc_id, text, source,
+    lang; without lang, all are of one language)."""
+    docs = lasting(docs)
     slices = max(64, min(1024, 4 * shuffle_partitions(docs.sparkSession)))
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
-    rows = stage(rows.withColumn("stratum", stratum_of(F.col("size"))), "sizes")
-    strata = stage(rows.groupBy("source", "stratum").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "strata")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = placed(docs, doc_id=F.col("doc_id"), source=F.col("source"), lang=lang, h=F.xxhash64("doc_id", "text"), size=size_of(F.col("text")))
+    rows = stage(rows.withColumns({"stratum": stratum_of(F.col("size")), "cell": cell_of(F.col("lang"), F.col("size"))}).drop("lang"), "sizes")
+    strata = stage(rows.groupBy("source", "stratum", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "strata")
     goals = targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")))
-    # a source's strata are bounded in number, whatever its documents
-    listed = strata.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("stratum", "n", "words")))).alias("strata")).withColumnRenamed("source", "_source")
-    solved = goals.join(listed, F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", _rate(F.col("strata"), F.col("target")))
-    # written, so that the folds below don't solve for the rate again at each stratum
-    solved = stage(solved.drop("_source"), "rates").withColumn("plan", _copies(F.col("strata"), F.col("rate")))
-    plan = stage(solved.select("source", "source_size", "target", "rate", F.explode("plan").alias("p")).select(F.col("source").alias("_s"), "source_size", "target", "rate", F.col("p.stratum").alias("_stratum"), "p.n", F.col("p.copies").alias("due")), "plan")
-    ranked = row_numbers(rows, ["source", "stratum"], [F.xxhash64("doc_id", "row"), F.col("row")], slices, "rank")
-    found = ranked.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("stratum") == F.col("_stratum")))
-    copies = F.expr("(rank + 1) * due div n - rank * due div n")
-    return found.withColumn("copies", copies.cast("int")).select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), "row")
+    # a source's cells and strata are bounded in number, whatever its documents
+    listed = strata.groupBy("source", "cell").agg(F.sum("words").cast("double").alias("words")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("cell", "words"))).alias("cells")).withColumnRenamed("source", "_source")
+    sources = stage(goals.join(listed, _same(F.col("source"), F.col("_source"))).drop("_source"), "sources")
+    goal = np.zeros(GROUPS)
+    for r in strata.groupBy("cell").agg(F.sum("words").alias("words")).collect():
+        goal[r["cell"] // LENGTHS] += r["words"]
+        goal[LANGUAGES + r["cell"] % LENGTHS] += r["words"]
+    beta, _, _ = balanced(sources, goal)
+    rates = stage(_rated(sources, beta).select(F.col("source").alias("_s"), "source_size", "target", F.explode("rated").alias("r")).select("_s", "source_size", "target", F.col("r.cell").alias("_cell"), F.col("r.rate").alias("rate")), "rates")
+
+    cells = strata.join(rates, _same(F.col("source"), F.col("_s")) & (F.col("cell") == F.col("_cell"))).drop("_s", "_cell")
+    each = cells.groupBy("source", "stratum").agg(F.sum("words").alias("words"), F.sum("n").alias("n"), F.sum(F.col("words") * F.col("rate")).alias("due"))
+    folded = each.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("stratum", "n", "words", "due")))).alias("strata"))
+    plan = folded.select(F.col("source").alias("_s"), F.explode(_copies(F.col("strata"))).alias("p")).select("_s", F.col("p.stratum").alias("_stratum"), "p.copies", F.col("p.due").alias("asked"))
+    # within a stratum every cell has a stretch of the copies in proportion to its documents' rates
+    share = F.when(F.col("asked") > 0, F.least(F.col("rate") * F.col("copies") / F.col("asked"), F.lit(float(MOST)))).otherwise(F.when(F.col("copies") > 0, F.lit(1.0)).otherwise(0.0))
+    cells = cells.join(plan, _same(F.col("source"), F.col("_s")) & (F.col("stratum") == F.col("_stratum"))).withColumn("each", share)
+    # cells in an order of chance, as later ones gain what earlier ones' fractions leave
+    before = Window.partitionBy("source", "stratum").orderBy(F.xxhash64("source", "stratum", "cell"), "cell").rowsBetween(Window.unboundedPreceding, -1)
+    plan = cells.withColumn("start", F.coalesce(F.sum(F.col("each") * F.col("n")).over(before), F.lit(0.0)))
+    plan = stage(plan.select(F.col("source").alias("_s"), F.col("stratum").alias("_stratum"), F.col("cell").alias("_cell"), "source_size", "target", "rate", "each", "start"), "plan")
+
+    # slices by the content, so that files may be written anew; what many rows repeat is dealt by place
+    total = rows.count()
+    crowded = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max(1, total // CROWDS)).select("h", F.lit(1).alias("crowded"))
+    rows = rows.join(F.broadcast(crowded), "h", "left").withColumn("spread", F.when(F.col("crowded") == 1, F.xxhash64("file", "at")).otherwise(F.col("h"))).drop("crowded")
+    ranked = row_numbers(rows, ["source", "stratum", "cell"], [F.col("h"), F.col("file"), F.col("at")], slices, "rank", F.col("spread"))
+    found = ranked.join(plan, _same(F.col("source"), F.col("_s")) & (F.col("stratum") == F.col("_stratum")) & (F.col("cell") == F.col("_cell")))
+    upto = lambda rank: F.floor(F.col("start") + rank * F.col("each") + 1e-6)
+    copies = F.least(upto(F.col("rank") + 1) - upto(F.col("rank")), F.lit(MOST)).cast("int")
+    return found.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), "file", "at")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, as often as the mix takes them.
+    """The rows of docs, with all their columns, of whatever names, as often as the mix takes them.
 
-    docs is read again, and rows are matched by doc_id, source and size, not by place: places change when
-    executors are lost. Rows that agree in all three share out the copies that they have together. The copies'
-    table has rows of fixed width; while it is small it is broadcast, so that texts aren't shuffled.
+    Whole rows are shuffled once to meet the copies of their places, and repeated after that.
     """
-    named = F.unhex(F.md5(F.col("source").cast("binary")))
-    times = mixed(docs).groupBy(F.col("doc_id").alias("_id"), named.alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    times = stage(times.where("_copies > 0"), "copies")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & named.eqNullSafe(F.col("_source")) & (size_of(F.col("text")) == F.col("_size"))
-    found = docs.join(small_side(times, BROADCAST_ROWS // 4), match)
-    once = found.where("_n = 1").withColumn("_each", F.col("_copies"))
-    if times.where("_n > 1").limit(1).count():
-        turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text"))
-        some = found.where("_n > 1").withColumn("_turn", turn)
-        share = F.expr("_copies div _n + CASE WHEN _turn <= _copies % _n THEN 1 ELSE 0 END")
-        once = once.union(some.withColumn("_each", share).drop("_turn").where("_each > 0"))
-    return once.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select(docs.columns)
+    docs = lasting(docs)
+    times = mixed(docs).where("copies > 0").select("file", "at", "copies")
+    return at_places(docs, times).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn")).select("doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+    return mixed(table(spark, sf_dir, "documents")).drop("file", "at")
