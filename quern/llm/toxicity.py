@@ -5,9 +5,13 @@ coordinates; words are runs of letters and digits (any byte beyond ASCII counts
 Each coordinate has its own learning rate, and the L1 term keeps most weights at zero, so the model is a short
 list of (coordinate, weight) pairs, 12 MB at the very most, broadcast to score every whole text.
 
-The model is fitted on at most TRAIN_ROWS labelled rows, those with the smallest hash of doc_id, in one task.
+The model is fitted in one task, on the labelled rows with the smallest hash of doc_id: at most TRAIN_ROWS rows
+and, where texts are long, at most TRAIN_FEATURES features (whole texts; the row that would pass the bound and all
+after it are left out). Features are made where the texts are read; only they, not texts, go to that task.
 Defined cases: null text counts as empty; labels that are null, or whose doc_id isn't among the documents, are
-left out; without a labelled row every score is 0.0.
+left out; a doc_id with several labels or texts gives a row for each pair, within the bounds; rows that tie in the
+hash are learnt in the order of doc_id, label and features; without a labelled row every score is 0.0; an empty
+table gives none; other columns of docs, of whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from quern.llm.common import mixed, ship, table, word_hashes
 DIMENSION_BITS = 20
 #: Bound of the labelled rows that are fitted.
 TRAIN_ROWS = 20_000
+#: Bound of their features, 4 bytes each: 160 MB.
+TRAIN_FEATURES = 40_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 FOLDS = 5
@@ -65,14 +71,31 @@ def probability(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(h, features(t), y) for b in batches for h, t, y in zip(*(b.column(c).to_pylist() for c in ("h", "text", "y")))]
-    rows.sort(key=lambda r: r[0])
+def trained(rows: list[tuple[np.ndarray, int]]) -> Ftrl:
+    """rows: (coordinates, label), in the order of learning."""
     model = Ftrl(1 << DIMENSION_BITS)
     for _ in range(EPOCHS):
-        for _, at, y in rows:
+        for at, y in rows:
             model.learn(at, y)
+    return model
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [features(t).tobytes() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("_id"), b.column("y"), pa.array(found, pa.binary())], names=["h", "_id", "y", "at"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in the order of learning."""
+    rows, n = [], 0
+    for b in batches:
+        for at, y in zip(b.column("at").to_pylist(), b.column("y").to_pylist()):
+            n += len(at) // 4
+            if n <= TRAIN_FEATURES and len(rows) < TRAIN_ROWS:
+                rows.append((np.frombuffer(at, np.int32), y))
     if rows:
+        model = trained(rows)
         w = model.weights(np.arange(len(model.z)))
         at = np.union1d(np.flatnonzero(w), [len(w) - 1])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(w[at])], names=["at", "weight"])
@@ -87,8 +110,10 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> pd.DataF
     ship(docs.sparkSession)
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     some = usable.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h")).orderBy("h", "_id", "y").limit(TRAIN_ROWS)
-    rows = docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("h", F.coalesce("text", F.lit("")).alias("text"), "y")
-    return rows.repartition(1).mapInArrow(_fit, "at long, weight double").toPandas()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("h", F.col("_id").cast("string"), "y", "text")
+    rows = rows.mapInArrow(_features, "h long, _id string, y int, at binary")
+    return rows.repartition(1).sortWithinPartitions("h", "_id", "y", "at").mapInArrow(_fit, "at long, weight double").toPandas()
 
 
 def scored(docs: DataFrame, model: pd.DataFrame) -> DataFrame:

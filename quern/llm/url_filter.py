@@ -3,9 +3,13 @@
 A rule (verdict, host, path) fits its host and all subdomains where the url's path starts with the rule's; the
 longest rule wins. The urls that rules decide are the labelled ones the trees learn from, at most TRAIN_ROWS of
 them (those with the smallest hash). Features: length, host length, depth, digit ratio, entropy of the
-characters, parameters, dots, hyphens, scheme, and the share and number of blocked labelled urls by suffix.
+characters, parameters, dots, hyphens, scheme, and the share and number of blocked labelled urls by suffix. A
+labelled url's suffix statistics come from the other FOLDS - 1 folds (by a hash of the url, so that repeats of a
+url share a fold), as its own label would tell itself otherwise; other urls' come from all. held_out_auc() grows
+the trees without one fold and ranks that fold by them; the README states the figure. The trees can only learn
+what the rules' verdicts teach.
 
-Defined cases: a null url and one without `://` have an empty host and path and fit no rule; without labelled
+Defined cases: repeated rows each give one; urls that tie in the hash are taken by page_id; a null url and one without `://` have an empty host and path and fit no rule; without labelled
 urls of both verdicts the trees aren't grown and the method's verdict is the only one seen, or allow.
 """
 
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import stage, table, utf8_lower
@@ -24,6 +28,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Bounds of the labelled urls that are learnt from, and of the suffixes that have statistics.
 TRAIN_ROWS = 50_000
 SUFFIXES = 10_000
+FOLDS = 5
 #: Weight of the prior in a suffix's share, in urls.
 PRIOR = 20.0
 TREES, DEPTH = 20, 4
@@ -85,23 +90,67 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
+def labelled(rows: DataFrame) -> DataFrame:
+    """The urls that the trees learn from, with label (1.0: block) and fold."""
+    sample = rows.where("ruled IS NOT NULL").orderBy(F.xxhash64("url"), "page_id").limit(TRAIN_ROWS)
+    return sample.withColumns({"label": (F.col("ruled") == "block").cast("double"), "fold": F.pmod(F.crc32("url"), F.lit(FOLDS)).cast("int")})
+
+
+class Suffixes:
+    """Counts of labelled urls by suffix, at most SUFFIXES of them, the most frequent."""
+
+    def __init__(self, known: DataFrame):
+        total = known.agg(F.count("*").alias("n"), F.sum("label").alias("b"), *(F.sum(F.when(F.col("fold") != f, F.col("label"))).alias(f"b{f}") for f in range(FOLDS)), *(F.count_if(F.col("fold") != f).alias(f"n{f}") for f in range(FOLDS))).first()
+        share = lambda b, n: (total[b] or 0.0) / total[n] if total[n] else 0.0
+        self.prior, self.priors = share("b", "n"), [share(f"b{f}", f"n{f}") for f in range(FOLDS)]
+        by_fold = known.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b"))
+        each = by_fold.groupBy("suffix").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "b")))).alias("_own"))
+        self.table = stage(each.orderBy(F.desc("_n"), "suffix").limit(SUFFIXES), "suffixes")
+
+    def add(self, rows: DataFrame, fold: Column | None = None) -> DataFrame:
+        """rows with the suffix statistics; of all folds, or of all but the row's own."""
+        own = F.element_at("_own", fold) if fold is not None else F.lit(None).cast("struct<n:bigint,b:double>")
+        prior = F.element_at(F.array(*map(F.lit, self.priors)), fold + 1) if fold is not None else F.lit(self.prior)
+        n = F.coalesce("_n", F.lit(0)) - F.coalesce(own["n"], F.lit(0))
+        b = F.coalesce("_b", F.lit(0.0)) - F.coalesce(own["b"], F.lit(0.0))
+        share = (b + PRIOR * prior) / (n + PRIOR)
+        return rows.join(F.broadcast(self.table), "suffix", "left").withColumns({"f_suffix_share": share, "f_suffix_count": F.log1p(n.cast("double"))}).drop("_n", "_b", "_own")
+
+
+def _assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+
+
+def grown(known: DataFrame, suffixes: Suffixes):
+    """The trees' model; known: labelled urls of both verdicts."""
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=42, checkpointInterval=-1)
+    return trees.fit(_assembled(suffixes.add(known, F.col("fold"))).select("features", "label"))
+
+
+def _scored(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with score, the probability of block from trees grown on known."""
+    ends = known.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+    if ends["low"] is None or ends["low"] == ends["high"]:
+        return rows.withColumn("score", F.lit(float(ends["low"] or 0.0)))
+    suffixes = Suffixes(known)
+    return grown(known, suffixes).transform(_assembled(suffixes.add(rows))).withColumn("score", vector_to_array("probability")[1])
+
+
+def held_out_auc(pages: DataFrame, fold: int = 0) -> float | None:
+    """How well trees grown without a fold rank that fold's urls by their rules' verdicts: the share of pairs of a
+    blocked and an allowed url in which the blocked one scores higher, ties half; null without such pairs."""
+    known = stage(labelled(lexical(pages)), "labelled")
+    scores = _scored(known.where(F.col("fold") == fold), known.where(F.col("fold") != fold)).select("label", "score")
+    counts = scores.groupBy("score").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("a"))
+    below = F.coalesce(F.sum("a").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    row = counts.withColumn("w", F.col("b") * (below + F.col("a") / 2)).agg(F.sum("w").alias("w"), F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    return row["w"] / (row["a"] * row["b"]) if row["a"] and row["b"] else None
+
+
 def judged(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, score): score is the trees' probability of block."""
     rows = stage(lexical(pages), "urls")
-    sample = rows.where("ruled IS NOT NULL").orderBy(F.xxhash64("url"), "page_id").limit(TRAIN_ROWS)
-    labelled = stage(sample.withColumn("label", (F.col("ruled") == "block").cast("double")), "labelled")
-    total = labelled.agg(F.avg("label").alias("prior"), F.min("label").alias("low"), F.max("label").alias("high")).first()
-    prior = total["prior"] or 0.0
-    suffixes = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
-    suffixes = F.broadcast(suffixes.select("suffix", ((F.col("b") + PRIOR * prior) / (F.col("n") + PRIOR)).alias("f_suffix_share"), F.log1p(F.col("n").cast("double")).alias("f_suffix_count")))
-    known = lambda df: df.join(suffixes, "suffix", "left").na.fill({"f_suffix_share": prior, "f_suffix_count": 0.0})
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    if total["low"] is None or total["low"] == total["high"]:
-        scored = rows.withColumn("score", F.lit(float(prior)))
-    else:
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=42, checkpointInterval=-1)
-        model = trees.fit(assembler.transform(known(labelled)).select("features", "label"))
-        scored = model.transform(assembler.transform(known(rows))).withColumn("score", vector_to_array("probability")[1])
+    scored = _scored(rows, stage(labelled(rows), "labelled"))
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
 
