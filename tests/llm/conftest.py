@@ -36,7 +36,7 @@ def sf(spark, tmp_path_factory, docs_rows):
     """A folder of tables: documents with columns that clash with names used inside, labels and pages."""
     d = tmp_path_factory.mktemp("sf")
     docs = spark.createDataFrame(docs_rows, SCHEMA)
-    for c in ("row", "shard", "n", "size", "bits", "score"):
+    for c in ("row", "shard", "n", "size", "bits", "score", "_id", "_n", "h", "y", "kept", "doc", "file", "at", "copies", "_metadata", "id", "least"):
         from pyspark.sql import functions as F
 
         docs = docs.withColumn(c, F.lit("clash"))
