@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage works on what its predecessor kept, written as Parquet and read again."""
+"""The corpus pipeline: each stage works on what its predecessor kept, written as Parquet and read again.
+
+Every stage has one plan at every size: decisions are made on narrow rows and met by whole rows at their places
+(file and number), in one shuffle; nothing that grows with the corpus is broadcast. All stages take null in any
+column, empty and very long texts, repeated rows, empty tables and extra columns of whatever names; all but the last
+return the columns that they get.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +16,47 @@ from quern.llm.common import stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects (score 0.5 or more) go.
+
+    A null text counts as empty; without labels every score is 0.0 and all stay; a row is judged by its text alone, so
+    repeated rows stay or go together and a null doc_id is no matter.
+    """
     return toxicity.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of texts that are equal but for white space the row with the smallest doc_id stays.
+
+    Null and empty texts are equal; a null doc_id stays only if its group has no other; of rows that tie in doc_id one
+    stays, by a hash of the text as it is, then by place.
+    """
     return exact.dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies (fingerprints linked at 4 or fewer differing bits) the document with the smallest
+    doc_id stays.
+
+    A null text has fingerprint zero; a null doc_id stays only if its group has no other; of rows that tie in doc_id
+    one stays, by a hash of the text, then by place; rows of one doc_id with unlinked texts all stay.
+    """
     return simhash.dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is repeated as often as its source's target asks for."""
+    """Each document is repeated as often as the mix takes it, 0 to 3 times.
+
+    The null source is a source and the null language a language; empty documents stay once; documents that tie in
+    size and rate are taken by a hash of doc_id and text.
+    """
     return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, placed in sequences."""
+    """Pieces of documents, placed in sequences of at most 2,048 tokens.
+
+    A null or empty text is its end token alone; repeated rows are documents of their own.
+    """
     import public_tokenizers
 
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))

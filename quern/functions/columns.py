@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.ranges import MANY, value_facts
+
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATS = (T.FloatType, T.DoubleType)
 OUTLIER_FLAG = "is_outlier"
@@ -46,17 +48,29 @@ def nearest_quantiles(df: DataFrame, columns: list[str], fractions: tuple[float,
     """Exact nearest-element quantiles of several columns: one pass for the counts, one for the elements."""
     if not columns:
         return {}
-    n = df.agg(*(F.count(c).alias(c) for c in columns)).first().asDict()
-    row = df.agg(*(disc(c, nearest_fraction(q, n[c])).alias(f"{i}_{j}") for i, c in enumerate(columns) for j, q in enumerate(fractions))).first()
-    return {c: [row[f"{i}_{j}"] for j in range(len(fractions))] for i, c in enumerate(columns)}
+    row = df.agg(*(a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}")))).first()
+    places = {c: [math.floor(q * (row[f"n{i}"] - 1) + 0.5) for q in fractions] if row[f"n{i}"] else [] for i, c in enumerate(columns)}
+    facts = value_facts(df, columns, places, {c for i, c in enumerate(columns) if row[f"d{i}"] > MANY})
+    return {c: facts[c]["at"] or [None] * len(fractions) for c in columns}
+
+
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians, the mean of the two middle values of an even number."""
+    if not columns:
+        return {}
+    row = df.agg(*(a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}")))).first()
+    places = {c: [(row[f"n{i}"] - 1) // 2, row[f"n{i}"] // 2] if row[f"n{i}"] else [] for i, c in enumerate(columns)}
+    facts = value_facts(df, columns, places, {c for i, c in enumerate(columns) if row[f"d{i}"] > MANY})
+    return {c: (facts[c]["at"][0] + facts[c]["at"][1]) / 2 if facts[c]["at"] else None for c in columns}
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """Different values by column; null counts as one."""
     if not columns:
         return {}
-    row = df.agg(*(F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)), *(F.max(F.col(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(columns))).first()
-    return {c: row[f"d{i}"] + (row[f"n{i}"] or 0) for i, c in enumerate(columns)}
+    row = df.agg(*(F.max(F.col(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(columns))).first()
+    facts = value_facts(df, columns)
+    return {c: facts[c]["distinct"] + (row[f"n{i}"] or 0) for i, c in enumerate(columns)}
 
 
 def more_than_two(df: DataFrame, columns: list[str]) -> list[str]:

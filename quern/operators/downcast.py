@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from quern.audit import StepReport
 from quern.config import CleanConfig
 from quern.functions.columns import INTEGERS, OUTLIER_FLAG
+from quern.functions.ranges import value_facts
 
 #: (logical name, lowest, highest, Spark type), narrowest first.
 UNSIGNED = [("UInt8", 0, 2**8 - 1, "smallint"), ("UInt16", 0, 2**16 - 1, "int"), ("UInt32", 0, 2**32 - 1, "bigint"), ("UInt64", 0, 2**64 - 1, "bigint")]
@@ -41,9 +42,12 @@ def plan(df: DataFrame, config: CleanConfig | None = None) -> dict[str, tuple[st
         elif isinstance(f.dataType, T.DoubleType) and config.downcast_floats:
             aggs += [float32_error(F.col(f.name)).alias(f"e{i}"), F.count(f.name).alias(f"c{i}")]
         elif isinstance(f.dataType, T.StringType):
-            aggs.append(F.count_distinct(f.name).alias(f"d{i}"))
+            aggs.append(F.approx_count_distinct(f.name).alias(f"d{i}"))
             aggs.append(F.max(F.col(f.name).isNull().cast("int")).alias(f"z{i}"))
     row, out = df.agg(*aggs).first().asDict(), {}
+    # exact counts only where the levels can be few enough
+    few = [f.name for i, f in enumerate(fields) if f"d{i}" in row and row[f"d{i}"] <= 2 * CATEGORY_LEVELS]
+    exact = value_facts(df, few) if few else {}
     for i, f in enumerate(fields):
         if row.get(f"a{i}") is not None:
             name, spark = narrowest_integer(row[f"a{i}"], row[f"b{i}"])
@@ -52,7 +56,7 @@ def plan(df: DataFrame, config: CleanConfig | None = None) -> dict[str, tuple[st
         elif row.get(f"c{i}") and (row[f"e{i}"] or 0.0) <= config.float32_rel_tolerance:
             out[f.name] = ("Float32", "float")
         elif f"d{i}" in row and row["n"]:
-            levels = row[f"d{i}"] + (row[f"z{i}"] or 0)
+            levels = exact[f.name]["distinct"] + (row[f"z{i}"] or 0) if f.name in exact else CATEGORY_LEVELS + 1
             if 0 < levels <= CATEGORY_LEVELS and levels / row["n"] <= CATEGORY_SHARE:
                 out[f.name] = ("Categorical", "string")
     return out

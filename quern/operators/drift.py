@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.columns import finite, kind_of
+from quern.functions.ranges import MANY, value_facts
 from quern.functions.special import chi2_sf, ks_two_sample_p
 from quern.operators.impact import ks_statistic
 
@@ -25,6 +27,7 @@ class DriftResult:
     test: str
     p_value: float | None
     level: str
+    statistic: float | None = None
 
 
 @dataclass
@@ -63,8 +66,14 @@ def bin_counts(a: DataFrame, b: DataFrame, column: str, edges: list[float]) -> D
 
 def decile_edges(a: DataFrame, column: str, bins: int = 10) -> list[float]:
     """Different deciles of the baseline, by linear interpolation."""
-    found = a.agg(F.percentile(finite(F.col(column)), [i / bins for i in range(bins + 1)]).alias("e")).first()["e"]
-    return sorted(set(found or []))
+    x = a.select(finite(F.col(column)).alias("x")).where("x IS NOT NULL")
+    row = x.agg(F.count("*").alias("n"), F.approx_count_distinct("x").alias("d")).first()
+    if not row["n"]:
+        return []
+    at = [i / bins * (row["n"] - 1) for i in range(bins + 1)]
+    places = sorted({p for v in at for p in (math.floor(v), math.ceil(v))})
+    found = dict(zip(places, value_facts(x, ["x"], {"x": places}, {"x"} if row["d"] > MANY else frozenset())["x"]["at"]))
+    return sorted({found[math.floor(v)] + (found[math.ceil(v)] - found[math.floor(v)]) * (v - math.floor(v)) for v in at})
 
 
 def psi_numeric(a: DataFrame, b: DataFrame, column: str, bins: int = 10) -> float:
@@ -105,14 +114,14 @@ def compute_drift(a: DataFrame, b: DataFrame) -> DriftReport:
             if min(row["n_a"] or 0, row["n_b"] or 0) < LEAST:
                 continue
             psi = psi_numeric(a, b, f.name)
-            report.results.append(DriftResult(f.name, kind, psi, "Kolmogorov-Smirnov", ks_two_sample_p(row["ks"], row["n_a"], row["n_b"]), level_of(psi)))
+            report.results.append(DriftResult(f.name, kind, psi, "Kolmogorov-Smirnov", ks_two_sample_p(row["ks"], row["n_a"], row["n_b"]), level_of(psi), row["ks"]))
         elif kind in ("categorical", "boolean"):
             counts = level_counts(a, b, f.name).cache()
             sizes = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
             if min(sizes["a"] or 0, sizes["b"] or 0) >= LEAST:
                 psi = float(_psi_sum(counts).first()["psi"] or 0.0)
                 x, df = chi_square(counts)
-                report.results.append(DriftResult(f.name, "categorical", psi, "chi-square", chi2_sf(x, df) if df else None, level_of(psi)))
+                report.results.append(DriftResult(f.name, "categorical", psi, "chi-square", chi2_sf(x, df) if df else None, level_of(psi), x))
             counts.unpersist()
     report.results.sort(key=lambda r: -r.psi)
     return report

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import finite, of_kind
+from quern.functions.ranges import ranged
 
 #: (share of cells, shift in standard deviations, KS): a step is material from the first, negligible below the second.
 MATERIAL, NEGLIGIBLE = (0.10, 0.10, 0.15), (0.01, 0.02, 0.05)
@@ -53,7 +54,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, column_a: str, column_b: str | None
     va = a.select(finite(F.col(column_a)).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     vb = b.select(finite(F.col(column_b or column_a)).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
     counts = va.unionAll(vb).where("v IS NOT NULL").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    cut = counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
+    cut = ranged(counts, "v")
     within = Window.partitionBy("_p").orderBy("v")
     part = cut.select("_p", F.sum("a").over(within).alias("ca"), F.sum("b").over(within).alias("cb"))
     ends = part.groupBy("_p").agg(F.max("ca").alias("ta"), F.max("cb").alias("tb"))

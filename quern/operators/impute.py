@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quern.audit import StepReport
 from quern.config import CleanConfig
-from quern.functions.columns import of_kind
+from quern.functions.columns import medians, of_kind
+from quern.functions.ranges import MANY, crowded_columns, ranged, value_facts
 
 #: Column of a stable row order; see add_row_id().
 ROW_ID = "_row_id"
@@ -27,19 +28,24 @@ def sorted_time_index(df: DataFrame, order: str = ROW_ID) -> str | None:
     times = of_kind(df, "datetime")
     if not times:
         return None
-    # whether a column never falls: within each slice by the lag, between slices by their ends
+    # whether a column never falls in the order: within each range of it by the lag, between ranges by their ends
     df = add_row_id(df) if order == ROW_ID else df
-    sliced = df.select(F.col(order).alias("_o"), *times).withColumn("_p", F.spark_partition_id())
+    sliced = ranged(df.select(F.col(order).alias("_o"), *times), "_o")
     w = Window.partitionBy("_p").orderBy("_o")
     falls = sliced.select("_o", "_p", *times, *(F.coalesce(F.col(c) < F.lag(c).over(w), F.lit(False)).alias(f"f_{i}") for i, c in enumerate(times)))
-    ends = falls.groupBy("_p").agg(F.min("_o").alias("_o"), *(a for i, c in enumerate(times) for a in (F.max(f"f_{i}").alias(f"f_{i}"), F.min_by(c, "_o").alias(f"a_{i}"), F.max_by(c, "_o").alias(f"b_{i}"))))
-    between = Window.orderBy("_o")  # a row for each partition
+    ends = falls.groupBy("_p").agg(*(a for i, c in enumerate(times) for a in (F.max(f"f_{i}").alias(f"f_{i}"), F.min_by(c, "_o").alias(f"a_{i}"), F.max_by(c, "_o").alias(f"b_{i}"))))
+    between = Window.orderBy("_p")  # a row for each range
     joined = ends.select(*(F.coalesce(F.col(f"a_{i}") < F.lag(f"b_{i}").over(between), F.lit(False)).__or__(F.col(f"f_{i}")).alias(f"g_{i}") for i in range(len(times))))
-    bad = joined.agg(*(F.max(f"g_{i}").alias(f"g_{i}") for i in range(len(times)))).first()
-    facts = df.agg(F.count("*").alias("n"), *(a for i, c in enumerate(times) for a in (F.count(c).alias(f"c{i}"), F.count_distinct(c).alias(f"d{i}")))).first()
+    facts = df.agg(F.count("*").alias("n"), *(a for i, c in enumerate(times) for a in (F.count(c).alias(f"c{i}"), F.approx_count_distinct(c, 0.02).alias(f"e{i}")))).first()
+    # only columns that can pass are looked at row by row
+    times = [c for i, c in enumerate(times) if facts["n"] >= 3 and facts[f"c{i}"] == facts["n"] and facts[f"e{i}"] >= 0.8 * facts["n"]]
+    if not times:
+        return None
+    different = value_facts(df, times, many=set(times) if facts["n"] > MANY else frozenset())
+    bad = joined.agg(*(F.max(f"g_{i}").alias(f"g_{i}") for i in range(len(joined.columns)))).first()
     n = facts["n"]
-    for i, c in enumerate(times):
-        if n >= 3 and facts[f"c{i}"] == n and facts[f"d{i}"] / n >= 0.9 and not bad[f"g_{i}"]:
+    for i, c in enumerate(of_kind(df, "datetime")):
+        if c in different and different[c]["distinct"] / n >= 0.9 and not bad[f"g_{i}"]:
             return c
     return None
 
@@ -47,21 +53,24 @@ def sorted_time_index(df: DataFrame, order: str = ROW_ID) -> str | None:
 def carry_fill(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """Forward, then backward fill in the order of a column, without one window over all rows.
 
-    Rows are range-partitioned by `order`; a window fills within each range, and a table with one row for each
-    range carries the last (first) values across ranges.
+    Rows are cut into ranges of `order` by fixed bounds; running windows, one in each direction, fill within a range,
+    and a table with one row for each range carries the last (first) values across ranges.
     """
     if not columns:
         return df
-    cut = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(order)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    cut = ranged(df, order)
+    past = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # the same frame over the falling order: a frame that ends at the last row would be summed anew for each row
+    future = Window.partitionBy("_p").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     keys = {c: F.when(F.col(c).isNotNull(), F.col(order)) for c in columns}
     ends = cut.groupBy("_p").agg(*(a for i, c in enumerate(columns) for a in (F.max_by(c, keys[c]).alias(f"l{i}"), F.min_by(c, keys[c]).alias(f"f{i}"))))
     every = Window.orderBy("_p")
-    before, after = every.rowsBetween(Window.unboundedPreceding, -1), every.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select(F.col("_p").alias("_q"), *(a for i in range(len(columns)) for a in (F.last(f"l{i}", True).over(before).alias(f"l{i}"), F.first(f"f{i}", True).over(after).alias(f"f{i}"))))
-    joined = cut.join(F.broadcast(carried), F.col("_p") == F.col("_q"))
-    filled = {c: F.coalesce(F.last(c, True).over(past), F.col(f"l{i}"), F.first(c, True).over(future), F.col(f"f{i}")) for i, c in enumerate(columns)}
+    before, after = every.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_p").alias("_q"), *(a for i in range(len(columns)) for a in (F.last(f"l{i}", True).over(before).alias(f"_l{i}"), F.last(f"f{i}", True).over(after).alias(f"_f{i}"))))
+    within = cut.withColumns({f"_a{i}": F.last(c, True).over(past) for i, c in enumerate(columns)})
+    within = within.withColumns({f"_b{i}": F.last(c, True).over(future) for i, c in enumerate(columns)})
+    joined = within.join(F.broadcast(carried), F.col("_p") == F.col("_q"))
+    filled = {c: F.coalesce(f"_a{i}", f"_l{i}", f"_b{i}", f"_f{i}") for i, c in enumerate(columns)}
     return joined.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in df.columns))
 
 
@@ -69,29 +78,28 @@ def statistical_fills(df: DataFrame, columns: list[str], how: str, skew_threshol
     """(statistic, value) for each column with nulls: the mean, or the median where the data are skewed."""
     if not columns:
         return {}
-    aggs = [a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.median(c).alias(f"d{i}"), F.skewness(c).alias(f"s{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}"))]
-    row = df.agg(*aggs).first()
-    out = {}
+    row = df.agg(*(a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.skewness(c).alias(f"s{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}")))).first()
+    out: dict[str, tuple[str, float]] = {}
     for i, c in enumerate(columns):
         if row[f"z{i}"] and row[f"n{i}"]:
             skew = row[f"s{i}"]
             median = how == "median" or (how == "auto" and skew is not None and abs(skew) > skew_threshold)
-            out[c] = ("median", row[f"d{i}"]) if median else ("mean", row[f"m{i}"])
-    return out
+            out[c] = ("median", 0.0) if median else ("mean", row[f"m{i}"])
+    found = medians(df, [c for c, (name, _) in out.items() if name == "median"])
+    return {c: (name, found.get(c, v)) for c, (name, v) in out.items()}
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     """The most frequent value of each column; of equals the smallest."""
-    if not columns:
-        return {}
-    row = df.agg(*(F.mode(F.col(c), True).alias(f"m{i}") for i, c in enumerate(columns))).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
+    return {c: f["top"] for c, f in value_facts(df, columns, many=crowded_columns(df, columns)).items()}
 
 
-def knn_fill(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+def knn_fill(df: DataFrame, columns: list[str], k: int, max_rows: int = 20_000) -> DataFrame:
     """Each missing number from the mean of its k nearest donors, by the Euclidean distance over the columns both
-    have, scaled up for those missing. The donor matrix goes to every task; callers bound the rows."""
-    matrix = df.select(*(F.col(c).cast("double") for c in columns)).toPandas().to_numpy(float)
+    have, scaled up for those missing. The donor matrix goes to every task, so it is bounded: of more than max_rows
+    rows those with the smallest hash are donors."""
+    donors_ = df.select(*(F.col(c).cast("double") for c in columns))
+    matrix = donors_.orderBy(F.xxhash64(*columns), *columns).limit(max_rows).toPandas().to_numpy(float)
     sent = df.sparkSession.sparkContext.broadcast(matrix)
     means = np.nanmean(matrix, axis=0) if len(matrix) else np.zeros(len(columns))
     kept, schema = df.columns, df.withColumns({c: F.col(c).cast("double") for c in columns}).schema
@@ -130,7 +138,10 @@ def impute_missing(df: DataFrame, config: CleanConfig | None = None, order: str
     if time:
         df = carry_fill(df, time, [c for c in numbers if c != time])
         report.act(f"numbers carried forward, then backward, along {time}")
-    if config.impute_numeric == "knn" and numbers and df.count() <= config.knn_max_rows:
+    near = config.impute_numeric == "knn" and numbers and df.limit(config.knn_max_rows + 1).count() <= config.knn_max_rows
+    if config.impute_numeric == "knn" and numbers and not near:
+        report.warn(f"more than {config.knn_max_rows} rows: filled by mean or median instead of nearest neighbours")
+    if near:
         df = knn_fill(df, numbers, config.knn_neighbors)
         report.act(f"nearest-neighbour fill over {len(numbers)} columns")
     elif config.impute_numeric != "none":
@@ -147,7 +158,8 @@ def impute_missing(df: DataFrame, config: CleanConfig | None = None, order: str
                     report.warn(f"{c} is entirely null and stays so")
     words = of_kind(df, "categorical")
     if config.impute_categorical == "mode" and words:
-        found = {c: v for c, v in modes(df, words).items() if v is not None}
+        holes = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in words)).first().asDict()
+        found = {c: v for c, v in modes(df, [c for c in words if holes[c]]).items() if v is not None}
         df = df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in found.items()}) if found else df
         report.act(f"most frequent value in {len(found)} text columns")
     elif config.impute_categorical == "constant" and words:

@@ -68,13 +68,15 @@ def ols(df: DataFrame, target: str, features: list[str]) -> dict | None:
 
 
 def logit(df: DataFrame, target: str, features: list[str]) -> dict | None:
+    """Logistic regression of the target's second level; coefficients, errors and p-values of the features, then of the constant."""
     levels = [r[0] for r in df.select(F.col(target).cast("string")).where(F.col(target).isNotNull()).distinct().orderBy(target).limit(3).collect()]
     if len(levels) != 2:
         return None
     x = VectorAssembler(inputCols=features, outputCol="features").transform(as_doubles(df, features).withColumn("label", (F.col(target).cast("string") == levels[1]).cast("double")).na.drop(subset=[*features, target]))
-    s = GeneralizedLinearRegression(family="binomial", maxIter=50).fit(x.select("features", "label")).summary
+    model = GeneralizedLinearRegression(family="binomial", maxIter=50).fit(x.select("features", "label"))
+    s = model.summary
     m = s.deviance, s.nullDeviance
-    return {"kind": "Logit", "target": target, "n": s.numInstances, "r2": 1 - m[0] / m[1] if m[1] else None, "p_values": list(s.pValues), "standard_errors": list(s.coefficientStandardErrors)}
+    return {"kind": "Logit", "target": target, "n": s.numInstances, "r2": 1 - m[0] / m[1] if m[1] else None, "coefficients": [*model.coefficients.toArray().tolist(), model.intercept], "p_values": list(s.pValues), "standard_errors": list(s.coefficientStandardErrors)}
 
 
 def run_baseline_models(df: DataFrame, target: str, exclude: tuple[str, ...] = (), seed: int = 7, folds: int = 3) -> dict | None:

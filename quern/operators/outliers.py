@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.audit import StepReport
 from quern.config import CleanConfig
-from quern.functions.columns import OUTLIER_FLAG, more_than_two, nearest_quantiles, of_kind
+from quern.functions.columns import OUTLIER_FLAG, medians, more_than_two, nearest_quantiles, of_kind
 
 #: Rows an isolation tree is grown on, and the number of trees.
 FOREST_SAMPLE, FOREST_TREES = 256, 100
@@ -70,9 +70,10 @@ def _depths(tree, x: np.ndarray) -> np.ndarray:
 
 def isolation_scores(df: DataFrame, columns: list[str], seed: int = 7, name: str = "_isolation") -> DataFrame:
     """Adds the isolation forest's anomaly score. Trees grow on bounded samples, rows are scored where they are."""
-    medians = df.agg(*(F.median(c).alias(f"m{i}") for i, c in enumerate(columns))).first()
-    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(medians[f"m{i}"] or 0))).alias(c) for i, c in enumerate(columns)]
-    sample = df.select(*filled).orderBy(F.rand(seed)).limit(FOREST_SAMPLE * 16).toPandas().to_numpy(float)
+    middle = medians(df, columns)
+    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(middle[c] or 0))).alias(c) for c in columns]
+    # by a hash of the values, so that it depends on neither partitions nor order
+    sample = df.select(*filled).orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(FOREST_SAMPLE * 16).toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
     n = min(FOREST_SAMPLE, len(sample))
     trees = [_grow(sample[rng.choice(len(sample), n, replace=False)], rng, 0, math.ceil(math.log2(max(n, 2)))) for _ in range(FOREST_TREES)]

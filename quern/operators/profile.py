@@ -6,11 +6,14 @@ import math
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import CleanConfig
 from quern.functions.columns import kind_of, of_kind
+from quern.functions.ranges import MANY, value_facts
 from quern.operators.downcast import memory_bytes
 
 
@@ -58,40 +61,43 @@ class DatasetProfile:
 PROFILE_SCHEMA = "name string, dtype string, kind string, count bigint, nulls bigint, null_pct double, n_unique bigint, mean double, std double, minimum double, q25 double, median double, q75 double, maximum double, skewness double, kurtosis double, top_value string, top_freq bigint"
 
 
-def column_profiles(df: DataFrame, exact: bool = True) -> list[ColumnProfile]:
-    """exact=False sketches distinct counts and quantiles, for tables whose distinct values don't fit in memory."""
+def column_profiles(df: DataFrame) -> list[ColumnProfile]:
+    """One aggregate for moments and counts of all columns, one job for each type's value counts; all exact.
+
+    Columns of more different values than MANY (about) are ranked by ranges, so that no task holds one's values.
+    """
     fields = [f for f in df.schema.fields if f.name != "_row_id"]
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    numbers = [f.name for f in fields if kind_of(f.dataType) == "numeric"]
-    sizes = df.agg(*(F.count(c).alias(c) for c in numbers)).first().asDict() if numbers and exact else {}
+    kinds = {f.name: kind_of(f.dataType) for f in fields}
     aggs = [F.count("*").alias("n")]
     for i, f in enumerate(fields):
-        c, kind = F.col(f.name), kind_of(f.dataType)
-        aggs += [F.count(c).alias(f"n{i}"), distinct(c).alias(f"u{i}")]
-        if kind == "numeric":
+        c = F.col(f.name)
+        # distinct values of other types by their hash
+        aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c if kinds[f.name] != "other" else F.xxhash64(c)).alias(f"u{i}")]
+        if kinds[f.name] == "numeric":
             d = c.cast("double")
             aggs += [F.avg(d).alias(f"mean{i}"), F.stddev_samp(d).alias(f"std{i}"), F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.skewness(d).alias(f"skew{i}"), F.kurtosis(d).alias(f"kurt{i}")]
-            # one set of value counts gives the median and, at whole places, the elements nearest to the quartiles
-            last = max(1, sizes.get(f.name, 0) - 1)
-            places = [math.floor(q * last + 0.5) / last for q in (0.25, 0.75)]
-            aggs.append((F.percentile(d, [places[0], 0.5, places[1]]) if exact else F.percentile_approx(d, [0.25, 0.5, 0.75], 10_000)).alias(f"q{i}"))
-        elif kind in ("categorical", "boolean"):
-            aggs.append(F.mode(c, True).alias(f"top{i}"))
     row = df.agg(*aggs).first().asDict()
-    tops = {f.name: row[f"top{i}"] for i, f in enumerate(fields) if row.get(f"top{i}") is not None}
-    freq = df.agg(*(F.count_if(F.col(c) == F.lit(v)).alias(f"t{j}") for j, (c, v) in enumerate(tops.items()))).first() if tops else ()
-    freqs = dict(zip(tops, freq))
+    places = {}
+    for i, f in enumerate(fields):
+        if kinds[f.name] == "numeric" and (m := row[f"n{i}"]):
+            places[f.name] = [math.floor(0.25 * (m - 1) + 0.5), (m - 1) // 2, m // 2, math.floor(0.75 * (m - 1) + 0.5)]
+    plain = [f.name for f in fields if kinds[f.name] != "other"]
+    facts = value_facts(df, plain, places, {f.name for i, f in enumerate(fields) if row[f"u{i}"] > MANY})
+    others = [f.name for f in fields if kinds[f.name] == "other"]
+    if others:
+        hashed = value_facts(df.select(*(F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) for c in others)), others, many=set(others))
+        facts |= {c: x | {"top": None, "freq": None} for c, x in hashed.items()}
     out, n = [], row["n"]
     for i, f in enumerate(fields):
-        nulls = n - row[f"n{i}"]
-        p = ColumnProfile(f.name, (f.metadata or {}).get("logical") or f.dataType.simpleString(), kind_of(f.dataType), row[f"n{i}"], nulls, round(100 * nulls / n, 3) if n else 0.0, row[f"u{i}"] + (nulls > 0))
+        x, nulls = facts[f.name], n - row[f"n{i}"]
+        p = ColumnProfile(f.name, (f.metadata or {}).get("logical") or f.dataType.simpleString(), kinds[f.name], row[f"n{i}"], nulls, round(100 * nulls / n, 3) if n else 0.0, x["distinct"] + (nulls > 0))
         if f"mean{i}" in row:
             p.mean, p.std, p.minimum, p.maximum = (row[f"{k}{i}"] for k in ("mean", "std", "min", "max"))
             p.skewness, p.kurtosis = row[f"skew{i}"], row[f"kurt{i}"]
-            p.q25, p.median, p.q75 = row[f"q{i}"] or [None, None, None]
-        if f.name in tops:
-            v = tops[f.name]
-            p.top_value, p.top_freq = (str(v).lower() if isinstance(v, bool) else v), freqs[f.name]
+            if x["at"]:
+                p.q25, p.median, p.q75 = float(x["at"][0]), (x["at"][1] + x["at"][2]) / 2, float(x["at"][3])
+        elif kinds[f.name] in ("categorical", "boolean") and x["top"] is not None:
+            p.top_value, p.top_freq = x["top"], x["freq"]
         out.append(p)
     return out
 
@@ -100,14 +106,38 @@ def profile_frame(df: DataFrame, columns: list[ColumnProfile] | None = None, dig
     """The column profiles as a table, a row for each column."""
     rows = []
     for p in columns if columns is not None else column_profiles(df):
-        rows.append(tuple(round(float(v), digits) if k in ("mean", "std", "minimum", "q25", "median", "q75", "maximum", "skewness", "kurtosis") and v is not None else v for k, v in asdict(p).items()))
+        rows.append(tuple(round(float(v), digits) + 0.0 if k in ("mean", "std", "minimum", "q25", "median", "q75", "maximum", "skewness", "kurtosis") and v is not None else v for k, v in asdict(p).items()))
     return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
 
 
 def duplicate_rows(df: DataFrame) -> int:
-    """Rows that have an equal, the first of them included."""
-    columns = [c for c in df.columns if c != "_row_id"]
-    return df.groupBy(*columns).agg(F.count("*").alias("_n")).where("_n > 1").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    """Rows that have an equal, the first of them included.
+
+    Hashes are counted first, so only rows whose hash occurs more than once are shuffled whole and compared.
+    """
+    df = df.drop("_row_id")
+    hashed = df.withColumn("_hash", F.xxhash64(*df.columns))
+    often = hashed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+    return hashed.join(often, "_hash", "left_semi").groupBy(*df.columns).agg(F.count("*").alias("_n")).where("_n > 1").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
+
+#: Beyond so many columns pairs come from one matrix instead of an aggregate for each.
+WIDE = 12
+
+
+def _wide_pairs(base: DataFrame, columns: list[str]) -> DataFrame:
+    """correlation_pairs() of many columns: one pass sums the whole matrix."""
+    spread = base.agg(F.count("*").alias("n"), *(F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns))).first()
+    schema = "a string, b string, r double, cov double"
+    if spread["n"] < 2:
+        return base.sparkSession.createDataFrame([], schema)
+    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(base).select("v")
+    r = Correlation.corr(vectors, "v").first()[0].toArray()
+    rows = []
+    for (i, a), (j, b) in combinations(enumerate(columns), 2):
+        x = 0.0 if math.isnan(r[i, j]) else float(r[i, j])
+        rows.append((a, b, x, x * spread[f"s{i}"] * spread[f"s{j}"]))
+    return base.sparkSession.createDataFrame(rows, schema)
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None, listwise: bool = True) -> DataFrame:
@@ -121,6 +151,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, listwise:
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double, cov double")
+    if listwise and len(columns) > WIDE:
+        return _wide_pairs(base, columns)
     wide = base.agg(*(x for i, (a, b) in enumerate(pairs) for x in (F.corr(a, b).alias(f"r{i}"), F.covar_samp(a, b).alias(f"c{i}"))))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.nanvl(f"r{i}", F.lit(0.0)), F.lit(0.0)).alias("r"), F.col(f"c{i}").alias("cov")) for i, (a, b) in enumerate(pairs)))
     return wide.select(F.explode(rows).alias("p")).select("p.*")
@@ -156,7 +188,7 @@ def profile_dataset(df: DataFrame, config: CleanConfig | None = None) -> Dataset
     config = config or CleanConfig()
     columns = column_profiles(df)
     numbers = [c.name for c in columns if c.kind == "numeric"]
-    n = df.count()
+    n = columns[0].count + columns[0].nulls if columns else df.count()
     p = DatasetProfile(n, len(columns), memory_bytes(df), duplicate_rows(df), columns, numbers)
     if len(numbers) >= 2 and n >= 2:
         found = {(r["a"], r["b"]): r for r in correlation_pairs(df, numbers).collect()}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import disc, distinct_counts, finite, of_kind
+from quern.functions.ranges import ranged
 from quern.functions.special import chi2_quantile
 
 WEIGHT_HINTS = ("weight", "wt", "wgt", "weights", "sample_weight", "pweight")
@@ -95,6 +96,23 @@ def survey_analysis(df: DataFrame) -> dict | None:
     return out if "cronbach" in out or weight else None
 
 
+#: Words in the names of columns that hold durations and events.
+DURATION_HINTS, EVENT_HINTS = ("duration", "time", "tenure", "survival", "days", "months"), ("event", "status", "death", "died", "churn", "failed", "observed")
+
+
+def survival_columns(df: DataFrame) -> tuple[str, str] | None:
+    """(duration, event): a number whose name has a word of a duration, and a column of 0 and 1 whose name has one of
+    an event; names are matched by whole words."""
+    words = lambda c: set(re.split(r"[^a-z]+", c.lower()))
+    numbers = of_kind(df, "numeric")
+    events = [c for c in numbers if words(c) & set(EVENT_HINTS)]
+    if events:
+        row = df.agg(*(x for i, c in enumerate(events) for x in (F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"), F.count_if((F.col(c) != 0) & (F.col(c) != 1)).alias(f"o{i}")))).first()
+        events = [c for i, c in enumerate(events) if row[f"o{i}"] == 0 and (row[f"a{i}"], row[f"b{i}"]) == (0, 1)]
+    durations = [c for c in numbers if words(c) & set(DURATION_HINTS) and c not in events]
+    return (durations[0], events[0]) if durations and events else None
+
+
 def kaplan_meier(df: DataFrame, duration: str, event: str) -> DataFrame:
     """(time, at_risk, events, survival) for each time with an event.
 
@@ -102,7 +120,7 @@ def kaplan_meier(df: DataFrame, duration: str, event: str) -> DataFrame:
     """
     base = df.select(F.col(duration).cast("double").alias("time"), F.col(event).cast("int").alias("e")).where("time IS NOT NULL AND e IS NOT NULL")
     counts = base.groupBy("time").agg(F.sum("e").alias("events"), F.count("*").alias("n"))
-    cut = counts.repartitionByRange("time").withColumn("_p", F.spark_partition_id())
+    cut = ranged(counts, "time")
     back = Window.partitionBy("_p").orderBy(F.desc("time"))
     cut = cut.withColumn("_r", F.sum("n").over(back))
     ends = cut.groupBy("_p").agg(F.sum("n").alias("t"))

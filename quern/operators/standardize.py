@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,19 @@ def parse_number(c: Column) -> Column:
     return F.when(c.contains("%"), bare / 100).otherwise(bare)
 
 
+#: What each letter group of a date pattern stands for.
+DATE_FIELDS = [("yyyy", "[0-9]{4}"), ("MMM", "[A-Za-z]{3}"), ("MM", "[0-9]{2}"), ("dd", "[0-9]{2}"), ("HH", "[0-9]{2}"), ("mm", "[0-9]{2}"), ("ss", "[0-9]{2}"), ("'T'", "T"), (".", "[.]")]
+
+
+def date_shape(pattern: str) -> str:
+    """A regular expression that every string of the pattern matches."""
+    return "^" + re.sub("|".join(re.escape(f) for f, _ in DATE_FIELDS), lambda m: dict(DATE_FIELDS)[m.group()], pattern) + "$"
+
+
 def parse_date(c: Column, pattern: str) -> Column:
-    """A timestamp without zone, null where the pattern doesn't fit."""
-    return F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
+    """A timestamp without zone, null where the pattern doesn't fit. Only strings of its shape are parsed, as a
+    failed parse costs an exception."""
+    return F.when(c.rlike(date_shape(pattern)), F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz"))
 
 
 def title_case(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import of_kind
+from quern.functions.ranges import ranged
 from quern.functions.special import chi2_sf, normal_two_sided
 
 #: A grid of more points than this is averaged to equal steps before it goes to the driver.
@@ -27,7 +28,7 @@ def acf(grid: DataFrame, column: str, lags: int = 40, time: str = "t") -> DataFr
 
     The series' centred values meet their lags by their place in time; places come from a range-wise count.
     """
-    cut = grid.select(F.col(time).alias("t"), F.col(column).alias("x")).repartitionByRange("t").withColumn("_p", F.spark_partition_id())
+    cut = ranged(grid.select(F.col(time).alias("t"), F.col(column).alias("x")), "t")
     ends = cut.groupBy("_p").agg(F.count("*").alias("n"))
     before = ends.select(F.col("_p").alias("_q"), F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
     placed = cut.join(F.broadcast(before), F.col("_p") == F.col("_q")).select((F.row_number().over(Window.partitionBy("_p").orderBy("t")) + F.col("o")).alias("i"), "x")
@@ -135,6 +136,34 @@ def timeseries_analysis(df: DataFrame, time: str, columns: list[str] | None = No
     return out
 
 
+def arma(y: np.ndarray, p: int, q: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, int] | None:
+    """(constant, AR, MA, residuals, residuals that count): conditional least squares by Hannan and Rissanen's steps.
+
+    A long autoregression gives first residuals, a regression on lags of both the coefficients; residuals are then
+    computed anew and the regression repeated. None where the series is short or the fit isn't invertible.
+    """
+    n = len(y)
+    if n < 8 + 2 * (p + q):
+        return None
+    e = y - y.mean()
+    if q:
+        k = min(max(4, p + q + 2), n // 4)
+        z = np.column_stack([np.ones(n - k), *(y[k - j : n - j] for j in range(1, k + 1))])
+        e = np.r_[np.zeros(k), _ols(z, y[k:])[1]]
+    lag = max(p, q)
+    b = np.zeros(1 + p + q)
+    for _ in range(1 + 4 * bool(q)):
+        z = np.column_stack([np.ones(n - lag), *(y[lag - j : n - j] for j in range(1, p + 1)), *(e[lag - j : n - j] for j in range(1, q + 1))])
+        b, *_ = np.linalg.lstsq(z, y[lag:], rcond=None)
+        ar, ma = b[1 : 1 + p], b[1 + p :]
+        if q and np.abs(np.roots(np.r_[1.0, ma])).max(initial=0.0) >= 1:
+            return None
+        e = np.zeros(n)
+        for i in range(lag, n):
+            e[i] = y[i] - b[0] - sum(ar[j] * y[i - j - 1] for j in range(p)) - sum(ma[j] * e[i - j - 1] for j in range(q))
+    return float(b[0]), b[1 : 1 + p], b[1 + p :], e, n - lag
+
+
 def _holt(x: np.ndarray, alpha: float, beta: float) -> tuple[np.ndarray, float, float]:
     level, trend, errors = x[0], x[1] - x[0], np.empty(len(x))
     for i, v in enumerate(x):
@@ -144,7 +173,7 @@ def _holt(x: np.ndarray, alpha: float, beta: float) -> tuple[np.ndarray, float,
 
 
 def forecast(x: np.ndarray, horizon: int = 12) -> dict:
-    """The better by AIC of Holt's additive trend and autoregressions of the (differenced) series; 95 % intervals."""
+    """The best by AIC of Holt's additive trend and ARIMA(p, d, q) with p, q up to 2 and d up to 1; 95 % intervals."""
     n = len(x)
     grid = [(a, b) for a in (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9) for b in (0.01, 0.05, 0.1, 0.3)]
     ss, a, b = min((float((_holt(x, a, b)[0] ** 2).sum()), a, b) for a, b in grid)
@@ -153,21 +182,26 @@ def forecast(x: np.ndarray, horizon: int = 12) -> dict:
     best = {"model": "ETS(A,A,N)", "aic": aic(ss, 4, n), "forecast": [level + (h + 1) * trend for h in range(horizon)], "sd": [float(errors.std(ddof=1))] * horizon}
     for d in (0, 1):
         y = np.diff(x) if d else x
-        for p in range(1, 4):
-            z = np.column_stack([np.ones(len(y) - p), *(y[p - j : len(y) - j] for j in range(1, p + 1))])
-            coef, _, ss = _ols(z, y[p:])
-            if (score := aic(ss, p + 2, len(y) - p) * n / (len(y) - p)) < best["aic"]:
-                past, path = list(y[-p:]), []
-                for _ in range(horizon):
-                    v = coef[0] + sum(coef[j] * past[-j] for j in range(1, p + 1))
-                    past.append(v)
-                    path.append(v)
-                psi = [1.0]
-                for h in range(1, horizon):
-                    psi.append(sum(coef[j] * psi[h - j] for j in range(1, min(h, p) + 1)))
-                weights = np.cumsum(psi) if d else np.array(psi)
-                sd = np.sqrt(np.cumsum(weights**2) * ss / max(len(y) - p, 1))
-                best = {"model": f"ARIMA({p},{d},0)", "aic": score, "forecast": (x[-1] + np.cumsum(path) if d else np.array(path)).tolist(), "sd": sd.tolist()}
+        for p in range(3):
+            for q in range(3):
+                fit = arma(y, p, q)
+                if fit is None:
+                    continue
+                constant, ar, ma, e, used = fit
+                ss = float(e[-used:] @ e[-used:])
+                if (score := aic(ss, p + q + 2, used) * n / used) < best["aic"]:
+                    past, shocks, path = list(y), list(e), []
+                    for _ in range(horizon):
+                        v = constant + sum(c * past[-j - 1] for j, c in enumerate(ar)) + sum(c * shocks[-j - 1] for j, c in enumerate(ma))
+                        past.append(v)
+                        shocks.append(0.0)
+                        path.append(v)
+                    psi = [1.0]
+                    for h in range(1, horizon):
+                        psi.append((ma[h - 1] if h <= q else 0.0) + sum(ar[j] * psi[h - j - 1] for j in range(min(h, p))))
+                    weights = np.cumsum(psi) if d else np.array(psi)
+                    sd = np.sqrt(np.cumsum(weights**2) * ss / max(used - p - q, 1))
+                    best = {"model": f"ARIMA({p},{d},{q})", "aic": score, "forecast": (x[-1] + np.cumsum(path) if d else np.array(path)).tolist(), "sd": sd.tolist()}
     f, sd = np.array(best["forecast"]), np.array(best.pop("sd"))
     return best | {"horizon": horizon, "last_value": float(x[-1]), "forecast": np.round(f, 4).tolist(), "lower": np.round(f - 1.96 * sd, 4).tolist(), "upper": np.round(f + 1.96 * sd, 4).tolist()}
 

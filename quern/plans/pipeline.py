@@ -48,14 +48,17 @@ class PipelineResult:
 
 
 def clean(df: DataFrame, config: CleanConfig, impact: bool = True) -> tuple[DataFrame, list[StepReport]]:
-    """The cleaning stages with their impact; each stage's input is kept while it is compared."""
+    """The cleaning stages with their impact. The result is kept (persisted and computed); what steps were compared
+    on is released."""
     df, first = standardize(df, config)
-    out = [first]
+    out, kept = [first], []
     for step in (impute_missing, handle_outliers):
-        before = df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        before = kept[-1]
         df, report = step(before, config)
         if impact and "_row_id" in df.columns:
             after = df.persist(StorageLevel.MEMORY_AND_DISK)
+            kept.append(after)
             found = measure_impact(before, after, rows_dropped=report.metrics.get("rows_dropped"))
             report.measure("impact", found)
             for x in found:
@@ -63,6 +66,10 @@ def clean(df: DataFrame, config: CleanConfig, impact: bool = True) -> tuple[Data
                     report.warn(x.describe())
         out.append(report)
     df, last = downcast(df, config)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    for x in kept:
+        x.unpersist()
     return df, [*out, last]
 
 
@@ -127,7 +134,6 @@ def run_pipeline(spark: SparkSession, source: str, output: str | None = None, co
             first.warn(f"contract: {issue}")
     with timed("clean", config.verbose):
         df, steps = clean(raw, config)
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     with timed("profile", config.verbose):
         profile = profile_dataset(df.drop("_row_id"), config)
     advanced: dict[str, Any] = {}
@@ -158,6 +164,11 @@ def run_pipeline(spark: SparkSession, source: str, output: str | None = None, co
             with open(path, "w", encoding="utf-8") as f:
                 f.write(text())
             result.report_paths["html" if path == report_html else "markdown"] = path
+    if config.make_pdf and (report_html or report_markdown):
+        path = f"{report_html or report_markdown}.pdf"
+        with open(path, "wb") as f:
+            f.write(reports.pdf_report(result, name))
+        result.report_paths["pdf"] = path
     if config.make_json and report_markdown:
         path = f"{report_markdown}.json"
         with open(path, "w", encoding="utf-8") as f:

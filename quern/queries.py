@@ -5,6 +5,7 @@ Numbers are rounded (6 places, fewer for large sums) on both sides, since sums d
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -333,12 +334,35 @@ def chi_square(spark, d):
     return rows(spark, [(round(x, 5), dof)], "statistic double, dof bigint")
 
 
-@query()
+DRIFT_LEVEL = "CASE WHEN psi >= 0.25 THEN 'major drift' WHEN psi >= 0.1 THEN 'moderate drift' ELSE 'stable' END AS level"
+
+
+def numeric_drift_sql(c: str) -> str:
+    t = SPLIT.replace("l_extendedprice", c)
+    edges = f"(SELECT list_sort(list_distinct([{', '.join(f'quantile_cont(v, {i / 10}) FILTER (a = 1)' for i in range(11))}])) AS e FROM ({t}))"
+    at = "CASE WHEN v = e[len(e)] THEN len(e) - 2 ELSE len(list_filter(e, lambda x: x <= v)) - 1 END"
+    bins = f"SELECT k, sum(a) AS a, sum(b) AS b FROM (SELECT {at} AS k, a, b FROM ({t}), {edges} WHERE v >= e[1] AND v <= e[len(e)] UNION ALL SELECT unnest(range(len(e) - 1)), 0, 0 FROM {edges}) GROUP BY 1"
+    psi = f"(WITH c AS ({bins}) {PSI})"
+    return f"SELECT '{c}' AS feature, 'numeric' AS kind, {psi} AS psi, 'Kolmogorov-Smirnov' AS test, (SELECT ks FROM ({KS.format(both=t)})) AS statistic"
+
+
+def level_drift_sql(c: str) -> str:
+    t = f"SELECT {c} AS k, count(*) FILTER (l_shipdate < TIMESTAMP '1996-01-01') AS a, count(*) FILTER (l_shipdate >= TIMESTAMP '1996-01-01') AS b FROM lineitem GROUP BY 1"
+    e = "(a + b) * {0} / (ta + tb)"
+    term = lambda x, total: f"pow(CASE WHEN n = 2 THEN greatest(abs({x} - {e.format(total)}) - 0.5, 0) ELSE {x} - {e.format(total)} END, 2) / ({e.format(total)})"
+    chi = f"SELECT round(sum({term('a', 'ta')} + {term('b', 'tb')}), 6) FROM (SELECT *, sum(a) OVER () AS ta, sum(b) OVER () AS tb, count(*) OVER () AS n FROM ({t}))"
+    return f"SELECT '{c}' AS feature, 'categorical' AS kind, (WITH c AS ({t}) {PSI}) AS psi, 'chi-square' AS test, ({chi}) AS statistic"
+
+
+DRIFTED = [numeric_drift_sql(c) for c in ("l_quantity", "l_extendedprice", "l_discount")] + [level_drift_sql(c) for c in ("l_returnflag", "l_linestatus")]
+
+
+@query(f"SELECT *, {DRIFT_LEVEL} FROM ({' UNION ALL '.join(DRIFTED)})")
 def drift_report(spark, d):
     a, b = split(spark, d)
     keep = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
     r = drift.compute_drift(a.select(keep), b.select(keep))
-    return rows(spark, [(x.feature, x.kind, x.psi, x.test, x.p_value, x.level) for x in r.results], "feature string, kind string, psi double, test string, p_value double, level string")
+    return rows(spark, [(x.feature, x.kind, round(x.psi, 6), x.test, round(x.statistic, 6), x.level) for x in r.results], "feature string, kind string, psi double, test string, statistic double, level string")
 
 
 @query("SELECT 'l_discount' AS \"column\", max(l_discount) > 0.05 AS above, min(l_discount) < 0 AS below, bool_and(l_returnflag IN ('A', 'N', 'R')) AS allowed FROM lineitem")
@@ -407,9 +431,11 @@ def bh_adjust(spark, d):
     return rounded(tests.adjusted(rows(spark, [("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.20), ("e", 0.005)], "name string, p_value double")), 9)
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(r, 6) + 0.0 AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 3) + 0.0 AS t FROM (SELECT corr({a}, {b}) AS r, count(*) AS n FROM lineitem)" for a, b in PAIRS))
 def correlation_significance(spark, d):
-    return rounded(tests.correlation_significance(table(spark, d, "lineitem"), LINE_NUMBERS))
+    out = tests.correlation_significance(table(spark, d, "lineitem"), LINE_NUMBERS)
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    return out.select("a", "b", (F.round("r", 6) + 0.0).alias("r"), "n", (F.round(t, 3) + 0.0).alias("t"))
 
 
 @query("SELECT 'l_quantity' AS feature, round(1 / (1 - pow(corr(l_quantity, l_extendedprice), 2)), 6) AS vif FROM lineitem UNION ALL SELECT 'l_extendedprice', round(1 / (1 - pow(corr(l_quantity, l_extendedprice), 2)), 6) FROM lineitem")
@@ -571,16 +597,29 @@ def normality(spark, d):
     return spark.createDataFrame(tests.normality_tests(table(spark, d, "lineitem"), LINE_NUMBERS[:2]))
 
 
+@query("SELECT event_id, round((pow(value, 0.5) - 1) / 0.5, 6) AS boxed, round(CASE WHEN value - 50 >= 0 THEN (pow(value - 50 + 1, 0.3) - 1) / 0.3 ELSE -(pow(1 - (value - 50), 1.7) - 1) / 1.7 END, 6) AS yeo FROM events WHERE value > 0")
+def power_transform_apply(spark, d):
+    df = table(spark, d, "events").where("value > 0").select("event_id", "value", (F.col("value") - 50).alias("moved"))
+    out = fit.apply_transforms(df, [fit.TransformSuggestion("value", "box-cox", "boxcox", 0.5, 0.0, 0.0), fit.TransformSuggestion("moved", "yeo-johnson", "yeojohnson", 0.3, 0.0, 0.0)])[0]
+    return out.select("event_id", F.round("value__boxcox", 6).alias("boxed"), F.round("moved__yeojohnson", 6).alias("yeo"))
+
+
 @query()
 def power_transforms(spark, d):
     df = table(spark, d, "events").select(F.pow("value", F.lit(2)).alias("v"))
     return rows(spark, [(t.feature, t.method, t.lam, t.skew_before, t.skew_after) for t in fit.suggest_transforms(df, ["v"], 0.1)], "feature string, method string, lam double, skew_before double, skew_after double")
 
 
-@query()
+FITS = "SELECT count(*)::DOUBLE AS n, avg(x) AS m, var_pop(x) AS v, min(x) AS low, avg(ln(x)) AS ml, var_pop(ln(x)) AS vl FROM (SELECT o_totalprice AS x FROM orders)"
+
+
+@query(f"""WITH r AS ({FITS}), f AS (SELECT 'norm' AS distribution, 4 + n * (ln(2 * pi() * v) + 1) AS aic FROM r UNION ALL SELECT 'expon', 2 + 2 * n * (ln(m) + 1) FROM r
+UNION ALL SELECT 'lognorm', 4 + 2 * n * ml + n * (ln(2 * pi() * vl) + 1) FROM r UNION ALL SELECT 'pareto', 4 - 2 * n * (ln(1 / (ml - ln(low))) + ln(low) / (ml - ln(low)) - (1 / (ml - ln(low)) + 1) * ml) FROM r)
+SELECT 'o_totalprice' AS feature, distribution, round(aic, 2) AS aic FROM f""")
 def distribution_fits(spark, d):
+    """The fits that have a closed form; gamma and Weibull are compared in the tests."""
     r = fit.fit_distributions(table(spark, d, "orders"), "o_totalprice")
-    return rows(spark, [(r["feature"], n, a) for n, a in r["candidates"]], "feature string, distribution string, aic double")
+    return rows(spark, [(r["feature"], n, round(a, 2)) for n, a in r["candidates"] if n in ("norm", "expon", "lognorm", "pareto")], "feature string, distribution string, aic double")
 
 
 @query()
@@ -588,15 +627,92 @@ def isolation_forest(spark, d):
     return outliers.isolation_scores(table(spark, d, "events").select("event_id", "value", "user_id"), ["value", "user_id"])
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS price FROM part),
+n AS (SELECT h.p_partkey, o.price, row_number() OVER (PARTITION BY h.p_partkey ORDER BY abs(h.p_partkey - o.p_partkey), o.p_partkey) AS k FROM t h JOIN t o ON o.price IS NOT NULL AND abs(h.p_partkey - o.p_partkey) < 9 WHERE h.price IS NULL)
+SELECT p_partkey::DOUBLE AS p_partkey, round(coalesce(price, (SELECT avg(n.price) FROM n WHERE n.p_partkey = t.p_partkey AND k <= 4)), 6) AS price FROM t""")
 def knn_imputation(spark, d):
-    df = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("p_retailprice"))
-    return impute.knn_fill(df, ["p_size", "p_retailprice"], 5)
+    df = table(spark, d, "part").select(F.col("p_partkey").cast("double").alias("p_partkey"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("price"))
+    return rounded(impute.knn_fill(df, ["p_partkey", "price"], 4))
 
 
-@query()
+@query("""WITH s AS (SELECT avg(l_quantity) AS ma, avg(l_discount) AS mb, var_samp(l_quantity) AS va, var_samp(l_discount) AS vb, covar_samp(l_quantity, l_discount) AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, round((pow(l_quantity - ma, 2) * vb - 2 * (l_quantity - ma) * (l_discount - mb) * c + pow(l_discount - mb, 2) * va) / (va * vb - c * c), 6) AS mahalanobis_d2 FROM lineitem, s""")
 def mahalanobis_distances(spark, d):
-    return multivariate.mahalanobis(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *LINE_NUMBERS), LINE_NUMBERS)[0]
+    out = multivariate.mahalanobis(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), ["l_quantity", "l_discount"])[0]
+    return out.select("l_orderkey", "l_linenumber", F.round("mahalanobis_d2", 6).alias("mahalanobis_d2"))
+
+
+@query("""WITH g AS (SELECT o_orderpriority, count(*) * covar_pop(a, a) AS aa, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(b, b) AS bb FROM (SELECT o_orderpriority, o_totalprice AS a, o_custkey::DOUBLE AS b FROM orders) GROUP BY 1),
+w AS (SELECT sum(aa) * sum(bb) - pow(sum(ab), 2) AS d FROM g), t AS (SELECT pow(count(*), 2) * (var_pop(o_totalprice) * var_pop(o_custkey) - pow(covar_pop(o_totalprice, o_custkey), 2)) AS d FROM orders)
+SELECT round(w.d / t.d, 7) AS wilks_lambda FROM w, t""")
+def wilks_lambda(spark, d):
+    return rows(spark, [(round(multivariate.wilks_lambda(table(spark, d, "orders"), ["o_totalprice", "o_custkey"], "o_orderpriority")[0], 7),)], "wilks_lambda double")
+
+
+@query("""WITH p AS (SELECT p_size AS x, p_retailprice AS y, p_partkey AS k FROM part), n AS (SELECT count(*) * (count(*) - 1) / 2.0 AS pairs FROM p), s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s FROM p a JOIN p b ON a.k > b.k),
+t AS (SELECT (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT count(*) AS c FROM p GROUP BY x)) AS tx, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT count(*) AS c FROM p GROUP BY y)) AS ty)
+SELECT round(s / sqrt((pairs - tx) * (pairs - ty)), 6) AS tau FROM n, s, t""")
+def kendall_tau(spark, d):
+    x = table(spark, d, "part").select("p_size", "p_retailprice").toPandas().to_numpy(float)
+    return rows(spark, [(round(relations.kendall_tau(x[:, 0], x[:, 1]), 6),)], "tau double")
+
+
+@query("WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT n, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS t FROM c) SELECT round(sum(n / t * ln(n * t / (na * nb))), 6) AS mi FROM m")
+def mutual_information(spark, d):
+    return rows(spark, [(round(relations.mutual_information(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"), 6),)], "mi double")
+
+
+BINARY = "SELECT (l_linestatus = 'O')::INTEGER AS y, (l_quantity > 25)::INTEGER AS x FROM lineitem"
+
+
+@query(f"""WITH c AS (SELECT count(*) FILTER (x = 1 AND y = 1)::DOUBLE AS a, count(*) FILTER (x = 1 AND y = 0)::DOUBLE AS b, count(*) FILTER (x = 0 AND y = 1)::DOUBLE AS c, count(*) FILTER (x = 0 AND y = 0)::DOUBLE AS d FROM ({BINARY}))
+SELECT 'x' AS term, round(ln(a * d / (b * c)), 6) + 0.0 AS coef, round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 6) AS se FROM c UNION ALL SELECT 'const', round(ln(c / d), 6) + 0.0, round(sqrt(1 / c + 1 / d), 6) FROM c""")
+def logit_binary(spark, d):
+    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    df = spark.sql("SELECT CAST(l_linestatus = 'O' AS INT) AS y, CAST(l_quantity > 25 AS INT) AS x FROM lineitem")
+    r = models.logit(df, "y", ["x"])
+    return rows(spark, [(n, round(c, 6) + 0.0, round(s, 6)) for n, c, s in zip(("x", "const"), r["coefficients"], r["standard_errors"])], "term string, coef double, se double")
+
+
+@query(f"""WITH g AS (SELECT count(*) FILTER (x = 1)::DOUBLE AS n, count(*) FILTER (x = 0)::DOUBLE AS m, avg(y) FILTER (x = 1) AS p, avg(y) FILTER (x = 0) AS q FROM ({BINARY}))
+SELECT round(p - q, 6) AS effect, round(p - q - 1.96 * sqrt(p * (1 - p) / n + q * (1 - q) / m), 6) AS ci_low, round(p - q + 1.96 * sqrt(p * (1 - p) / n + q * (1 - q) / m), 6) AS ci_high, round(p / q, 6) AS relative_risk FROM g""")
+def ab_test_binary(spark, d):
+    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    df = spark.sql("SELECT CAST(l_linestatus = 'O' AS INT) AS y, CAST(l_quantity > 25 AS INT) AS x FROM lineitem")
+    r = models.causal_analysis(df, "x", "y")
+    return rows(spark, [tuple(round(r[k], 6) for k in ("effect", "ci_low", "ci_high", "effect_size"))], "effect double, ci_low double, ci_high double, relative_risk double")
+
+
+def lexicon_sql(words: tuple[str, ...]) -> str:
+    return f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)})))"
+
+
+@query(f"WITH t AS (SELECT doc_id, string_split_regex(lower(text), '[^\\p{{L}}]+') AS w FROM documents), c AS (SELECT doc_id, {lexicon_sql(multivariate.POSITIVE)} AS p, {lexicon_sql(multivariate.NEGATIVE)} AS n FROM t) SELECT doc_id, round(CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END, 6)::DOUBLE AS sentiment FROM c")
+def sentiment(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(multivariate.sentiment(F.col("text")).cast("double"), 6).alias("sentiment"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sniffed_csv(spark, d):
+    """A table written with a preamble, another separator and encoding, and read back by what is sniffed."""
+    import tempfile
+
+    from quern.sources.readers import read_any
+
+    values = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
+    with tempfile.NamedTemporaryFile("w", suffix=".csv", delete=False, encoding="cp1252") as f:
+        f.write("# exported table\n# two lines of preamble\nn_nationkey;n_name;n_regionkey\n")
+        f.writelines(f"{r[0]};{r[1]};{r[2]}\n" for r in values)
+    out = read_any(spark, f.name)[0]
+    return out.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("bigint").alias("n_regionkey"))
+
+
+@query("SELECT 'o_totalprice' AS name, round(lo, 4) AS low, round(q1, 4) AS q1, round(q2, 4) AS median, round(q3, 4) AS q3, round(hi, 4) AS high FROM (SELECT (SELECT min(o_totalprice) FROM orders WHERE o_totalprice >= q1 - 1.5 * (q3 - q1)) AS lo, q1, q2, q3, (SELECT max(o_totalprice) FROM orders WHERE o_totalprice <= q3 + 1.5 * (q3 - q1)) AS hi FROM (SELECT " + f"{nearest_sql('o_totalprice', 'orders', 0.25)} AS q1, (SELECT median(o_totalprice) FROM orders) AS q2, {nearest_sql('o_totalprice', 'orders', 0.75)} AS q3))")
+def box_plot(spark, d):
+    from quern import reports
+
+    (r,) = reports.box_numbers(table(spark, d, "orders"), ["o_totalprice"])
+    return rows(spark, [(r[0], *(round(v, 4) for v in r[1:]))], "name string, low double, q1 double, median double, q3 double, high double")
 
 
 @query()
@@ -617,7 +733,14 @@ def forecast(spark, d):
     return rows(spark, list(zip(range(1, 13), r["forecast"], r["lower"], r["upper"])), "step bigint, forecast double, lower double, upper double")
 
 
-@query()
+BAYES = """WITH m AS (SELECT l_linestatus AS level, count(*)::DOUBLE AS n, avg({c}) AS mean, var_samp({c}) AS v FROM lineitem GROUP BY 1), a AS (SELECT * FROM m ORDER BY level LIMIT 1), b AS (SELECT * FROM m ORDER BY level DESC LIMIT 1),
+t AS (SELECT (a.mean - b.mean) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS t, a.n * b.n / (a.n + b.n) AS size, a.n + b.n - 2 AS dof FROM a, b),
+g AS (SELECT i, -12.0 + i * (37.0 / 4000) AS u FROM (SELECT unnest(range(4001)) AS i)),
+f AS (SELECT CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w, exp(-0.5 * ln(1 + size * exp(u) / 2) - (dof + 1) / 2 * ln(1 + t * t / ((1 + size * exp(u) / 2) * dof)) + (dof + 1) / 2 * ln(1 + t * t / dof) - 0.5 * ln(2 * pi()) - 1.5 * u - 1 / (2 * exp(u)) + u) AS y FROM g, t)
+SELECT '{c}' AS value, 'l_linestatus' AS "group", round(ln(sum(w * y) * 37.0 / 4000 / 3), 4) AS ln_bf10 FROM f"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({BAYES.format(c=c)})" for c in ("l_quantity", "l_extendedprice")))
 def bayes_factors(spark, d):
     r = multivariate.bayesian_analysis(table(spark, d, "lineitem"), "l_linestatus", ["l_quantity", "l_extendedprice"])
-    return rows(spark, [(x["value"], x["group"], x["bf10"], x["interpretation"]) for x in r], "value string, group string, bf10 double, interpretation string")
+    return rows(spark, [(x["value"], x["group"], round(math.log(x["bf10"]), 4)) for x in r], "value string, group string, ln_bf10 double")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from quern.audit import StepReport
 from quern.config import CleanConfig
 from quern.operators.impute import add_row_id
+from quern.sources.netcdf import read_netcdf
 from quern.sources.sniff import FileProfile, profile_source
 
 
@@ -244,6 +245,8 @@ def read_any(spark: SparkSession, source: str, config: CleanConfig | None = None
             df = read_excel(spark, source, config.excel_sheet, report)
         elif profile.fmt == "fits":
             df = read_fits(spark, source)
+        elif profile.fmt == "netcdf":
+            df = read_netcdf(spark, source)
         elif profile.fmt == "duckdb":
             df = read_sql(spark, source, query, table, report)
         else:
