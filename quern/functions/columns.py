@@ -50,7 +50,7 @@ def nearest_quantiles(df: DataFrame, columns: list[str], fractions: tuple[float,
         return {}
     row = df.agg(*(a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}")))).first()
     places = {c: [math.floor(q * (row[f"n{i}"] - 1) + 0.5) for q in fractions] if row[f"n{i}"] else [] for i, c in enumerate(columns)}
-    facts = value_facts(df, columns, places, {c for i, c in enumerate(columns) if row[f"d{i}"] > MANY})
+    facts = value_facts(df, columns, places, {c for i, c in enumerate(columns) if row[f"d{i}"] > MANY}, top=False)
     return {c: facts[c]["at"] or [None] * len(fractions) for c in columns}
 
 
@@ -60,7 +60,7 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
         return {}
     row = df.agg(*(a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}")))).first()
     places = {c: [(row[f"n{i}"] - 1) // 2, row[f"n{i}"] // 2] if row[f"n{i}"] else [] for i, c in enumerate(columns)}
-    facts = value_facts(df, columns, places, {c for i, c in enumerate(columns) if row[f"d{i}"] > MANY})
+    facts = value_facts(df, columns, places, {c for i, c in enumerate(columns) if row[f"d{i}"] > MANY}, top=False)
     return {c: (facts[c]["at"][0] + facts[c]["at"][1]) / 2 if facts[c]["at"] else None for c in columns}
 
 

@@ -7,6 +7,8 @@ two exchanges and small partitions are merged.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +31,13 @@ def rank_key(c: Column, t: T.DataType) -> Column:
     return c.cast("double")
 
 
-def ranged(df: DataFrame, column: str, name: str = "_p") -> DataFrame:
-    """df with the number of the range that the column's value lies in; null's is -1, NaN's the highest."""
+def ranged(df: DataFrame, column: str, name: str = "_p", values: int | None = None) -> DataFrame:
+    """df with the number of the range that the column's value lies in; null's is -1, NaN's the highest.
+
+    values: about how many rows there are, where that is known; up to SMALL one range will do.
+    """
+    if values is not None and values <= SMALL:
+        return df.withColumn(name, F.lit(0))
     n = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = rank_key(F.col(column), df.schema[column].dataType)
     known = F.when(~F.isnan(key), key)
@@ -40,11 +47,6 @@ def ranged(df: DataFrame, column: str, name: str = "_p") -> DataFrame:
     return out.withColumn(name, F.coalesce(F.col("_b").cast("int"), F.lit(-1))).drop("_x", "_b")
 
 
-def small_side(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (counted); else as it is, for an ordinary join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _by_type(df: DataFrame, columns: list[str]) -> dict[str, list[tuple[str, Column]]]:
     """Columns by the type in which their values are counted."""
     out: dict[str, list[tuple[str, Column]]] = {}
@@ -64,30 +66,38 @@ def _by_type(df: DataFrame, columns: list[str]) -> dict[str, list[tuple[str, Col
     return out
 
 
-def value_facts(df: DataFrame, columns: list[str], places: dict[str, list[int]] | None = None, many: set[str] | frozenset = frozenset()) -> dict[str, dict]:
+def value_facts(df: DataFrame, columns: list[str], places: dict[str, list[int]] | None = None, many: set[str] | frozenset = frozenset(), top: bool = True) -> dict[str, dict]:
     """Of each column: distinct (nulls aside), at (the values at the places in sorted order, from 0), top and freq
-    (the most frequent value, of equals the smallest). Exact.
+    (the most frequent value, of equals the smallest; without top only of strings). Exact.
 
     Values are counted where they are read and then once for each value and column, all columns of a type in one
     job; sorted counts give the places. Columns in `many` are ranked by ranges, so that no task holds one's values.
     """
     places, out = places or {}, {}
-    for kind, some in _by_type(df, [c for c in columns if c not in many]).items():
+
+    def together(kind: str, some: list[tuple[str, Column]]) -> dict[str, dict]:
         pairs = [x for i, (_, v) in enumerate(some) for x in (F.lit(i), v)]
         counts = df.select(F.stack(F.lit(len(some)), *pairs).alias("i", "v")).where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"))
         most = max((len(places.get(c, ())) for c, _ in some), default=0)
         upto = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         ranked = counts.withColumn("c", F.sum("n").over(upto)) if most else counts
-        at = lambda j: F.element_at(F.array(*(F.lit((places.get(c) or [])[j] if j < len(places.get(c) or []) else -1).cast("long") for c, _ in some)), F.col("i") + 1)  # noqa: E731, B023
-        aggs = [F.count("*").alias("distinct"), F.min_by("v", F.struct(-F.col("n"), "v")).alias("top"), F.max("n").alias("freq"), *(F.min(F.when(F.col("c") > at(j), F.col("v"))).alias(f"q{j}") for j in range(most))]
-        for r in ranked.groupBy("i").agg(*aggs).collect():
-            c = some[r["i"]][0]
-            out[c] = {"distinct": r["distinct"], "top": r["top"], "freq": r["freq"], "at": [r[f"q{j}"] for j in range(len(places.get(c, ())))]}
-    for kind, some in _by_type(df, [c for c in columns if c in many]).items():
-        for c, v in some:
-            counts = df.select(v.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-            row = counts.agg(F.count("*").alias("distinct"), F.min_by("v", F.struct(-F.col("n"), "v")).alias("top"), F.max("n").alias("freq")).first()
-            out[c] = row.asDict() | {"at": _at_places(counts, places[c]) if places.get(c) else []}
+        at = lambda j: F.element_at(F.array(*(F.lit((places.get(c) or [])[j] if j < len(places.get(c) or []) else -1).cast("long") for c, _ in some)), F.col("i") + 1)
+        best = F.min_by("v", F.struct(-F.col("n"), "v")) if top or kind == "string" else F.lit(None).cast(kind)
+        aggs = [F.count("*").alias("distinct"), best.alias("top"), F.max("n").alias("freq"), *(F.min(F.when(F.col("c") > at(j), F.col("v"))).alias(f"q{j}") for j in range(most))]
+        rows = ranked.groupBy("i").agg(*aggs).collect()
+        return {some[r["i"]][0]: {"distinct": r["distinct"], "top": r["top"], "freq": r["freq"], "at": [r[f"q{j}"] for j in range(len(places.get(some[r["i"]][0], ())))]} for r in rows}
+
+    def alone(c: str, v: Column) -> dict[str, dict]:
+        counts = df.select(v.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+        row = counts.agg(F.count("*").alias("distinct"), F.min_by("v", F.struct(-F.col("n"), "v")).alias("top"), F.max("n").alias("freq")).first()
+        return {c: row.asDict() | {"at": _at_places(counts, places[c]) if places.get(c) else []}}
+
+    jobs = [lambda kind=kind, some=some: together(kind, some) for kind, some in _by_type(df, [c for c in columns if c not in many]).items()]
+    jobs += [lambda c=c, v=v: alone(c, v) for some in _by_type(df, [c for c in columns if c in many]).values() for c, v in some]
+    # few jobs of few tasks at their ends, so they are run side by side
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for found in pool.map(lambda job: job(), jobs):
+            out |= found
     for c in columns:
         out.setdefault(c, {"distinct": 0, "top": None, "freq": None, "at": [None] * len(places.get(c, ()))})
     return out

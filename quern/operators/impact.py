@@ -53,8 +53,9 @@ def ks_statistic(a: DataFrame, b: DataFrame, column_a: str, column_b: str | None
     """
     va = a.select(finite(F.col(column_a)).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     vb = b.select(finite(F.col(column_b or column_a)).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    counts = va.unionAll(vb).where("v IS NOT NULL").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    cut = ranged(counts, "v")
+    both = va.unionAll(vb).where("v IS NOT NULL")
+    counts = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    cut = ranged(counts, "v", values=both.agg(F.approx_count_distinct("v")).first()[0])
     within = Window.partitionBy("_p").orderBy("v")
     part = cut.select("_p", F.sum("a").over(within).alias("ca"), F.sum("b").over(within).alias("cb"))
     ends = part.groupBy("_p").agg(F.max("ca").alias("ta"), F.max("cb").alias("tb"))

@@ -78,10 +78,14 @@ def statistical_fills(df: DataFrame, columns: list[str], how: str, skew_threshol
     """(statistic, value) for each column with nulls: the mean, or the median where the data are skewed."""
     if not columns:
         return {}
-    row = df.agg(*(a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.skewness(c).alias(f"s{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}")))).first()
+    holes = df.agg(*(F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(columns))).first()
+    columns = [c for i, c in enumerate(columns) if holes[f"z{i}"]]
+    if not columns:
+        return {}
+    row = df.agg(*(a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.skewness(c).alias(f"s{i}")))).first()
     out: dict[str, tuple[str, float]] = {}
     for i, c in enumerate(columns):
-        if row[f"z{i}"] and row[f"n{i}"]:
+        if row[f"n{i}"]:
             skew = row[f"s{i}"]
             median = how == "median" or (how == "auto" and skew is not None and abs(skew) > skew_threshold)
             out[c] = ("median", 0.0) if median else ("mean", row[f"m{i}"])

@@ -6,6 +6,7 @@ import math
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -62,7 +63,8 @@ PROFILE_SCHEMA = "name string, dtype string, kind string, count bigint, nulls bi
 
 
 def column_profiles(df: DataFrame) -> list[ColumnProfile]:
-    """One aggregate for moments and counts of all columns, one job for each type's value counts; all exact.
+    """One aggregate for counts and means of all columns, one for sums of powers about the means, one job for each
+    type's value counts; all exact.
 
     Columns of more different values than MANY (about) are ranked by ranges, so that no task holds one's values.
     """
@@ -75,14 +77,20 @@ def column_profiles(df: DataFrame) -> list[ColumnProfile]:
         aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c if kinds[f.name] != "other" else F.xxhash64(c)).alias(f"u{i}")]
         if kinds[f.name] == "numeric":
             d = c.cast("double")
-            aggs += [F.avg(d).alias(f"mean{i}"), F.stddev_samp(d).alias(f"std{i}"), F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.skewness(d).alias(f"skew{i}"), F.kurtosis(d).alias(f"kurt{i}")]
+            aggs += [F.avg(d).alias(f"mean{i}"), F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}")]
     row = df.agg(*aggs).first().asDict()
+    powers = []
+    for i, f in enumerate(fields):
+        if row.get(f"mean{i}") is not None:
+            d = F.col(f.name).cast("double") - row[f"mean{i}"]
+            powers += [F.sum(d * d).alias(f"s2_{i}"), F.sum(d * d * d).alias(f"s3_{i}"), F.sum(d * d * d * d).alias(f"s4_{i}")]
+    sums = df.agg(*powers).first().asDict() if powers else {}
     places = {}
     for i, f in enumerate(fields):
         if kinds[f.name] == "numeric" and (m := row[f"n{i}"]):
             places[f.name] = [math.floor(0.25 * (m - 1) + 0.5), (m - 1) // 2, m // 2, math.floor(0.75 * (m - 1) + 0.5)]
     plain = [f.name for f in fields if kinds[f.name] != "other"]
-    facts = value_facts(df, plain, places, {f.name for i, f in enumerate(fields) if row[f"u{i}"] > MANY})
+    facts = value_facts(df, plain, places, {f.name for i, f in enumerate(fields) if row[f"u{i}"] > MANY}, top=False)
     others = [f.name for f in fields if kinds[f.name] == "other"]
     if others:
         hashed = value_facts(df.select(*(F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) for c in others)), others, many=set(others))
@@ -92,8 +100,11 @@ def column_profiles(df: DataFrame) -> list[ColumnProfile]:
         x, nulls = facts[f.name], n - row[f"n{i}"]
         p = ColumnProfile(f.name, (f.metadata or {}).get("logical") or f.dataType.simpleString(), kinds[f.name], row[f"n{i}"], nulls, round(100 * nulls / n, 3) if n else 0.0, x["distinct"] + (nulls > 0))
         if f"mean{i}" in row:
-            p.mean, p.std, p.minimum, p.maximum = (row[f"{k}{i}"] for k in ("mean", "std", "min", "max"))
-            p.skewness, p.kurtosis = row[f"skew{i}"], row[f"kurt{i}"]
+            p.mean, p.minimum, p.maximum = (row[f"{k}{i}"] for k in ("mean", "min", "max"))
+            m, s2 = row[f"n{i}"], sums.get(f"s2_{i}")
+            p.std = math.sqrt(s2 / (m - 1)) if s2 is not None and m > 1 else None
+            if s2 and math.isfinite(s2):
+                p.skewness, p.kurtosis = sums[f"s3_{i}"] / m / (s2 / m) ** 1.5, sums[f"s4_{i}"] / m / (s2 / m) ** 2 - 3
             if x["at"]:
                 p.q25, p.median, p.q75 = float(x["at"][0]), (x["at"][1] + x["at"][2]) / 2, float(x["at"][3])
         elif kinds[f.name] in ("categorical", "boolean") and x["top"] is not None:
@@ -121,38 +132,60 @@ def duplicate_rows(df: DataFrame) -> int:
     return hashed.join(often, "_hash", "left_semi").groupBy(*df.columns).agg(F.count("*").alias("_n")).where("_n > 1").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
 
 
-#: Beyond so many columns pairs come from one matrix instead of an aggregate for each.
-WIDE = 12
+#: Beyond so many columns the matrix comes from vectors instead of an aggregate for each pair.
+WIDE = 24
 
 
-def _wide_pairs(base: DataFrame, columns: list[str]) -> DataFrame:
-    """correlation_pairs() of many columns: one pass sums the whole matrix."""
-    spread = base.agg(F.count("*").alias("n"), *(F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns))).first()
-    schema = "a string, b string, r double, cov double"
-    if spread["n"] < 2:
-        return base.sparkSession.createDataFrame([], schema)
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(base).select("v")
-    r = Correlation.corr(vectors, "v").first()[0].toArray()
-    rows = []
-    for (i, a), (j, b) in combinations(enumerate(columns), 2):
-        x = 0.0 if math.isnan(r[i, j]) else float(r[i, j])
-        rows.append((a, b, x, x * spread[f"s{i}"] * spread[f"s{j}"]))
-    return base.sparkSession.createDataFrame(rows, schema)
+def covariances(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
+    """(rows, sample covariance matrix) over rows complete in all columns.
+
+    One aggregate for the means and one for the sums of products about them; many columns in one pass over vectors.
+    """
+    k = len(columns)
+    base = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))).na.drop()
+    if k > WIDE:
+        row = base.agg(F.count("*").alias("n"), *(F.stddev_samp(f"x{i}").alias(f"s{i}") for i in range(k))).first()
+        if row["n"] < 2:
+            return row["n"], np.zeros((k, k))
+        vectors = VectorAssembler(inputCols=base.columns, outputCol="v").transform(base).select("v")
+        sd = np.array([row[f"s{i}"] for i in range(k)])
+        return row["n"], np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray()) * np.outer(sd, sd)
+    first = base.agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(k))).first()
+    n = first["n"]
+    if n < 2:
+        return n, np.zeros((k, k))
+    d = [F.col(f"x{i}") - first[f"m{i}"] for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = base.agg(*(F.sum(d[i]).alias(f"s{i}") for i in range(k)), *(F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i, j in pairs)).first()
+    out = np.zeros((k, k))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = (row[f"p{i}_{j}"] - row[f"s{i}"] * row[f"s{j}"] / n) / (n - 1)
+    return n, out
+
+
+def correlations(cov: np.ndarray) -> np.ndarray:
+    """Pearson's r from covariances; 0 where a column doesn't vary."""
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    scale = np.outer(sd, sd)
+    return np.clip(np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 0), -1.0, 1.0)
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None, listwise: bool = True) -> DataFrame:
-    """(a, b, r, cov) of all pairs of numeric columns a < b by position, in one aggregate.
+    """(a, b, r, cov) of all pairs of numeric columns a < b by position.
 
     listwise leaves out rows with a null in any of the columns; else each pair uses the rows it has.
     """
     columns = columns or [c for c in of_kind(df, "numeric")]
-    base = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    base = base.na.drop() if listwise else base
     pairs = list(combinations(columns, 2))
+    schema = "a string, b string, r double, cov double"
     if not pairs:
-        return df.sparkSession.createDataFrame([], "a string, b string, r double, cov double")
-    if listwise and len(columns) > WIDE:
-        return _wide_pairs(base, columns)
+        return df.sparkSession.createDataFrame([], schema)
+    if listwise:
+        n, cov = covariances(df, columns)
+        r = correlations(cov)
+        rows = [(a, b, float(r[i, j]), float(cov[i, j]) if n > 1 else None) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
+        return df.sparkSession.createDataFrame(rows, schema)
+    base = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
     wide = base.agg(*(x for i, (a, b) in enumerate(pairs) for x in (F.corr(a, b).alias(f"r{i}"), F.covar_samp(a, b).alias(f"c{i}"))))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.nanvl(f"r{i}", F.lit(0.0)), F.lit(0.0)).alias("r"), F.col(f"c{i}").alias("cov")) for i, (a, b) in enumerate(pairs)))
     return wide.select(F.explode(rows).alias("p")).select("p.*")
@@ -191,13 +224,12 @@ def profile_dataset(df: DataFrame, config: CleanConfig | None = None) -> Dataset
     n = columns[0].count + columns[0].nulls if columns else df.count()
     p = DatasetProfile(n, len(columns), memory_bytes(df), duplicate_rows(df), columns, numbers)
     if len(numbers) >= 2 and n >= 2:
-        found = {(r["a"], r["b"]): r for r in correlation_pairs(df, numbers).collect()}
-        std = df.select(*numbers).na.drop().agg(*(F.var_samp(c).alias(c) for c in numbers)).first().asDict()
-        at = lambda a, b: found.get((a, b)) or found.get((b, a))
+        _, cov = covariances(df, numbers)
+        r = correlations(cov)
         p.corr_labels = numbers
-        p.corr_matrix = [[1.0 if a == b else round(at(a, b)["r"], 4) for b in numbers] for a in numbers]
-        p.cov_matrix = [[round((std[a] if a == b else at(a, b)["cov"]) or 0.0, 4) for b in numbers] for a in numbers]
-        p.collinear_pairs = [(a, b, round(r["r"], 4)) for (a, b), r in found.items() if abs(r["r"]) >= config.corr_threshold]
+        p.corr_matrix = [[1.0 if i == j else round(float(r[i, j]), 4) for j in range(len(numbers))] for i in range(len(numbers))]
+        p.cov_matrix = np.round(cov, 4).tolist()
+        p.collinear_pairs = [(a, b, round(float(r[i, j]), 4)) for (i, a), (j, b) in combinations(enumerate(numbers), 2) if abs(r[i, j]) >= config.corr_threshold]
     p.warnings = health_warnings(p, config)
     outliers = df.agg(F.count_if("is_outlier")).first()[0] if "is_outlier" in df.columns else 0
     p.quality_score = quality_score(n, columns, p.duplicate_rows, len(p.warnings), outliers)

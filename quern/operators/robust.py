@@ -120,7 +120,7 @@ def kaplan_meier(df: DataFrame, duration: str, event: str) -> DataFrame:
     """
     base = df.select(F.col(duration).cast("double").alias("time"), F.col(event).cast("int").alias("e")).where("time IS NOT NULL AND e IS NOT NULL")
     counts = base.groupBy("time").agg(F.sum("e").alias("events"), F.count("*").alias("n"))
-    cut = ranged(counts, "time")
+    cut = ranged(counts, "time", values=base.agg(F.approx_count_distinct("time")).first()[0])
     back = Window.partitionBy("_p").orderBy(F.desc("time"))
     cut = cut.withColumn("_r", F.sum("n").over(back))
     ends = cut.groupBy("_p").agg(F.sum("n").alias("t"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import finite, of_kind
-from quern.functions.ranges import ranged, small_side
+from quern.functions.ranges import SMALL, ranged
 from quern.functions.special import chi2_sf, f_sf, normal_cdf, normal_two_sided, t_two_sided
 
 ALPHA = 0.05
@@ -69,14 +69,15 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     go in two levels (ranges of values, then within each), so that no task holds them all. Ranks of few different
     values meet the rows by broadcast, so that rows aren't shuffled for them."""
     out = df
-    for c in columns:
+    sizes = df.agg(*(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns))).first()
+    for i, c in enumerate(columns):
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-        cut = ranged(counts, "_v")
+        cut = ranged(counts, "_v", values=sizes[f"d{i}"])
         upto = cut.withColumn("_c", F.sum("_n").over(Window.partitionBy("_p").orderBy("_v")))
         ends = upto.groupBy("_p").agg(F.max("_c").alias("_t"))
         before = ends.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
         ranks = upto.join(F.broadcast(before), F.col("_p") == F.col("_q")).select("_v", (F.col("_c") + F.col("_o") - (F.col("_n") - 1) / 2).alias(f"rank_{c}"))
-        out = out.join(small_side(ranks), out[c] == ranks["_v"], "left").drop("_v")
+        out = out.join(F.broadcast(ranks) if sizes[f"d{i}"] <= SMALL else ranks, out[c] == ranks["_v"], "left").drop("_v")
     return out
 
 

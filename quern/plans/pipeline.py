@@ -47,11 +47,18 @@ class PipelineResult:
         return f"{self.source}: {self.rows_in} rows in, {self.rows_out} out; {human_bytes(self.memory_before)} to {human_bytes(self.memory_after)}; quality {self.profile.quality_score}; {sum(len(r.warnings) for r in self.step_reports)} warnings; {self.elapsed_s:.1f} s"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes from fewer files than there are cores; larger tables are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def clean(df: DataFrame, config: CleanConfig, impact: bool = True) -> tuple[DataFrame, list[StepReport]]:
     """The cleaning stages with their impact. The result is kept (persisted and computed); what steps were compared
     on is released."""
-    df, first = standardize(df, config)
-    out, kept = [first], []
+    kept = [spread(df).persist(StorageLevel.MEMORY_AND_DISK)]
+    df, first = standardize(kept[0], config)
+    out = [first]
     for step in (impute_missing, handle_outliers):
         kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         before = kept[-1]
